@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The code points with the Unicode property White_Space, for a regular expression's class.
-WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
+WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(c: Column) -> Column:
