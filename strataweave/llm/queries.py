@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.llm import authorship as A
 from strataweave.llm import conversations as C
 from strataweave.llm import mixing as M
 from strataweave.llm import packing as P
 from strataweave.llm import splitting as S
+from strataweave.llm import syntax as X
 from strataweave.sources.tables import table
 
 # The white space characters, for SQL's regular expressions.
@@ -39,6 +41,22 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return S.split_items(table(spark, d, "convention_chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return X.parse_files(table(spark, d, "source_files")).where("error_at is not null").select("file_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return X.parse_rates(X.parse_files(table(spark, d, "source_files")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return A.classify(table(spark, d, "source_files")).where("foreign").select("file_id")
+
+
+def p5_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return A.classify(table(spark, d, "source_files")).where("not foreign").select("file_id", "project", "dotnet_project")
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return P.pack(table(spark, d, "documents"), table(spark, d, "container_sizes"))
 
@@ -71,7 +89,7 @@ k AS (SELECT * FROM g INTERSECT SELECT * FROM a EXCEPT SELECT * FROM x)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p8_packing, p8_report, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_rates, p5_found, p5_handwritten, p8_packing, p8_report, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
