@@ -10,6 +10,7 @@ from strataweave.llm import conversations as C
 from strataweave.llm import mixing as M
 from strataweave.llm import packing as P
 from strataweave.llm import splitting as S
+from strataweave.llm import subjects as U
 from strataweave.llm import syntax as X
 from strataweave.sources.tables import table
 
@@ -74,6 +75,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return U.score(docs, U.train(docs, table(spark, d, "subject_labels").join(table(spark, d, "subjects").select("subject"), "subject", "left_semi")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d)
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return U.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
 _CHATS = f"""WITH m AS (SELECT username, chat_id, message_index AS i, origin,
     CASE lower(regexp_replace(role, '^[{_WS}]+|[{_WS}]+$', '', 'g')) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'customer' THEN 'user'
       WHEN 'assistant' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'bot' THEN 'assistant'
@@ -89,7 +103,7 @@ k AS (SELECT * FROM g INTERSECT SELECT * FROM a EXCEPT SELECT * FROM x)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_rates, p5_found, p5_handwritten, p8_packing, p8_report, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_rates, p5_found, p5_handwritten, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
