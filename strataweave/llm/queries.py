@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.llm import authorship as A
 from strataweave.llm import conversations as C
 from strataweave.llm import mixing as M
+from strataweave.llm import neighbours as N
 from strataweave.llm import packing as P
 from strataweave.llm import splitting as S
 from strataweave.llm import subjects as U
@@ -58,6 +59,15 @@ def p5_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return A.classify(table(spark, d, "source_files")).where("not foreign").select("file_id", "project", "dotnet_project")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return N.similar_pairs(table(spark, d, "memory_entities_v2"))
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar entities of every entity whose id is divisible by 100, however far, without relaxing."""
+    return N.neighbours(table(spark, d, "memory_entities_v2"), least=-1.0, factor=1.0, asked="id % 100 = 0")
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return P.pack(table(spark, d, "documents"), table(spark, d, "container_sizes"))
 
@@ -103,7 +113,7 @@ k AS (SELECT * FROM g INTERSECT SELECT * FROM a EXCEPT SELECT * FROM x)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_rates, p5_found, p5_handwritten, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_rates, p5_found, p5_handwritten, p7_found, p7_neighbours, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
