@@ -58,7 +58,12 @@ _FOREIGN_CODE = re.compile(
     r"""__(license|author|version)__\s*=\s*['"].*\n?.*__(license|author|version)__\s*=|\bVERSION\s*=\s*['"][a-z][\w-]*/\d+\.\d+|\bVERSION:\s*['"][\d.]+['"],\s*homepage:\s*['"]https?:"""
     r"""|\bUPSTREAM\b[^=\n]*=\s*"https?:|\bVersion\s*=\s*"\w+ \d+\.\d+[\d.]*";[^\n]*\bHome\s*=\s*"https?:|\[[\w.]*GeneratedCode(Attribute)?\s*\("""
 )
-_ANY = re.compile(r"(?i)gener|génér|gerad|erzeug|bearbeit|ändern|\bedit|modif|overwrit|discarded|produced|emitted|licen[cs]e|licensed|copyright|\(c\)|released under|redistrib|SPDX|this file|permission")
+# Parts of words without one of which no notice can stand.
+_HINTS = (
+    "generated|generad|generato|generiert|erzeugt|erstellt|génér|gerad|bearbeiten|ändern|editieren|edit this|edits |edit.|not edit|edite|editar|modif|changes |overwritten|discarded|emitted|produced by|created by|created from|touch"
+    "|license|licence|spdx|copyright|(c) |released under|redistribution|permission is|this file|regenerate"
+).split("|")
+_FOREIGN_HINTS = ("__", "VERSION", "UPSTREAM", "Version", "GeneratedCode")
 _HEAD = re.compile(r"^\s*(?:/\*[\s\S]*?\*/\s*|(?://|#|--)[^\n]*\n\s*)+")
 _DATA_LINE = re.compile(r"""\s*[\[{(]*(?:\s*(?:-?\d[\w.]*|0x\w+|[bBrRuU]?'[^'\n]*'|[bBrRuU@]?"[^"\n]*"|null|["']?\w+["']?\s*:\s*(?:-?\d[\d.]*|"[^"\n]*"|'[^'\n]*'))\s*[+,)}\]]*)+[);]*\s*""")
 
@@ -79,9 +84,14 @@ def owned_place(path: str) -> bool:
     return any(d in _OWNED_DIRS for d in low) or any(p in _OWNED_PAIRS for p in zip(low, low[1:])) or bool(_OWNED_NAME.search(name))
 
 
+def hinted(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in _HINTS)
+
+
 def notices(path: str, text: str) -> bool:
     """Whether a comment or a statement outside strings says that the file is a tool's or another party's."""
-    if _ANY.search(text):
+    if hinted(text):
         ext = extension(path)
         block, found = [], []
         lang = language(ext) if ext in ("cs", "ts", "js", "py", "sql", "rs") else None
@@ -94,7 +104,7 @@ def notices(path: str, text: str) -> bool:
         for c in [*found, "\n".join(block)]:
             if _TOOL.search(c) or _LICENCE.search(c) and OWNER not in c.lower():
                 return True
-    m = _FOREIGN_CODE.search(text)
+    m = _FOREIGN_CODE.search(text) if any(h in text for h in _FOREIGN_HINTS) else None
     if m and ("GeneratedCode" not in m.group() or text.count('"', 0, m.start()) % 2 == 0):
         return True
     return False
@@ -107,13 +117,15 @@ def shape(text: str) -> bool:
     # Prose and queries kept in one long string have a space every few characters; packed code and data do not.
     if sum(len(x) for x in lines if len(x) > 200 and x.count(" ") < 0.12 * len(x)) >= 0.8 * total:
         return True
-    return len(lines) > 15 and total > 1500 and sum(len(x) for x in lines if len(x) < 400 and len(x) > 12 and _DATA_LINE.fullmatch(x)) >= 0.85 * total
+    if len(lines) <= 15 or total <= 1500 or text.count("(") + text.count("=") > 0.015 * total:  # calls and assignments: code
+        return False
+    return sum(len(x) for x in lines if len(x) < 400 and len(x) > 12 and _DATA_LINE.fullmatch(x)) >= 0.85 * total
 
 
 def masked(text: str) -> str:
     """Without the leading comments and without lines that say where the file comes from."""
     text = _HEAD.sub("", text)
-    if _ANY.search(text):
+    if hinted(text):
         text = "\n".join(x for x in text.splitlines() if not (_TOOL.search(x) or _LICENCE.search(x)))
     return text
 
