@@ -37,9 +37,9 @@ def modularity(adj: DataFrame, labels: DataFrame) -> DataFrame:
     total = strength.join(labels, "project").groupBy("community").agg(F.sum("k").alias("tot"))
     la, lb = labels.select(F.col("project").alias("a"), F.col("community").alias("ca")), labels.select(F.col("project").alias("b"), F.col("community").alias("cb"))
     inside = adj.join(la, "a").join(lb, "b").where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.sum("weight").alias("win"))
-    m = adj.agg(F.sum("weight").alias("m"))
-    parts = total.join(inside, "community", "left").crossJoin(F.broadcast(m))  # one row
-    return parts.agg(F.round(F.sum(F.coalesce("win", F.lit(0.0)) / F.col("m") - F.pow(F.col("tot") / (2 * F.col("m")), 2)), 6).alias("modularity"))
+    m = F.lit(adj.agg(F.sum("weight")).first()[0] or 1.0)  # one number
+    parts = total.join(inside, "community", "left")
+    return parts.agg(F.round(F.sum(F.coalesce("win", F.lit(0.0)) / m - F.pow(F.col("tot") / (2 * m), 2)), 6).alias("modularity"))
 
 
 def _graph(adj: DataFrame) -> dict[str, dict[str, float]]:

@@ -85,12 +85,13 @@ def vitality(points: DataFrame) -> DataFrame:
     along = W.partitionBy(F.lit(1)).orderBy("month")  # over a dozen months
     p = points.withColumns({"i": F.row_number().over(along), "active": (F.col("commits") > 0).cast("int")})
     p = p.withColumn("island", F.sum("active").over(along))
-    streaks = p.where("active = 0").groupBy("island").agg(F.count("*").alias("len")).agg(F.coalesce(F.max("len"), F.lit(0)).alias("max_inactive_streak"))
+    p = p.withColumn("silent", F.count_if(F.col("active") == 0).over(W.partitionBy("island")))
     n = F.count("*")
     whole = p.agg(
         F.sum(F.when(F.col("i") > 6, F.col("commits")).otherwise(0)).alias("last6"), F.sum(F.when(F.col("i") <= 6, F.col("commits")).otherwise(0)).alias("prior6"), F.count_if(F.col("active") == 0).alias("dormant_months"),
         (n - F.coalesce(F.max(F.when(F.col("active") == 1, F.col("i"))), F.lit(0))).alias("silent_now"),
-    ).crossJoin(F.broadcast(streaks))
+        F.coalesce(F.max("silent"), F.lit(0)).alias("max_inactive_streak"),
+    )
     change = F.when(F.col("prior6") > 0, F.bround((F.col("last6") - F.col("prior6")) / F.col("prior6") * 100, 1)).when(F.col("last6") > 0, 100.0).otherwise(0.0)
     return whole.withColumn("velocity_change", change).withColumn("status", activity_status(F.col("silent_now"), F.col("dormant_months"), F.col("last6"), F.col("prior6")))
 

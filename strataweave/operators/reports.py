@@ -32,9 +32,13 @@ def bucket(step: str, c: str = "created_at") -> Column:
     return F.date_trunc(step, F.col(c))
 
 
-def spine(df: DataFrame, start: datetime, end: datetime, step: str) -> DataFrame:
+def buckets(start: datetime, end: datetime, step: str) -> Column:
     first, last = F.date_trunc(step, F.lit(start).cast("timestamp")), F.date_trunc(step, F.lit(end - timedelta(microseconds=1)).cast("timestamp"))
-    return df.sparkSession.range(1).select(F.explode(F.sequence(first, last, F.expr(f"interval 1 {step}"))).alias("bucket"))
+    return F.sequence(first, last, F.expr(f"interval 1 {step}"))
+
+
+def spine(df: DataFrame, start: datetime, end: datetime, step: str) -> DataFrame:
+    return df.sparkSession.range(1).select(F.explode(buckets(start, end, step)).alias("bucket"))
 
 
 def series(df: DataFrame, start: datetime, end: datetime, step: str, **aggs: Column) -> DataFrame:
@@ -57,7 +61,7 @@ def breakdown_series(df: DataFrame, key: str, value: Column, start: datetime, en
     """(label, bucket, value) for every label and bucket; labels are those of `breakdown`."""
     rows = within(df, start, end).withColumn("label", label(F.col(key)))
     keys = rows.groupBy("label").agg(value.alias("total")).where("total > 0").select("label")
-    grid = keys.crossJoin(F.broadcast(spine(df, start, end, step)))  # buckets of one report
+    grid = keys.withColumn("bucket", F.explode(buckets(start, end, step)))
     got = rows.groupBy("label", bucket(step).alias("bucket")).agg(value.alias("value"))
     return grid.join(got, ["label", "bucket"], "left").fillna(0, ["value"])
 

@@ -95,10 +95,10 @@ def node_detail(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
     """(direction, type, other_id, other_name, other_project, is_cross) of every edge of one node."""
     out = edges.where(F.col("source_id") == node_id).select(F.lit("out").alias("direction"), "type", F.col("target_id").alias("other_id"))
     inn = edges.where(F.col("target_id") == node_id).select(F.lit("in").alias("direction"), "type", F.col("source_id").alias("other_id"))
-    own = nodes.where(F.col("id") == node_id).select(F.col("project").alias("own_project"))
+    own = nodes.select(F.col("id").alias("own_id"), F.col("project").alias("own_project"))
     other = nodes.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("project").alias("other_project"))
-    hit = out.unionByName(inn).join(other, "other_id")
-    return hit.crossJoin(F.broadcast(own)).select("direction", "type", "other_id", "other_name", "other_project", (F.col("other_project") != F.col("own_project")).alias("is_cross"))  # one row
+    hit = out.unionByName(inn).join(other, "other_id").withColumn("own_id", F.lit(node_id).cast("long"))
+    return hit.join(own, "own_id").select("direction", "type", "other_id", "other_name", "other_project", (F.col("other_project") != F.col("own_project")).alias("is_cross"))
 
 
 def unified_search(repos: DataFrame, nodes: DataFrame, text: str, limit: int) -> DataFrame:
