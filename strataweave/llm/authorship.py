@@ -117,8 +117,8 @@ def shape(text: str) -> bool:
     # Prose and queries kept in one long string have a space every few characters; packed code and data do not.
     if sum(len(x) for x in lines if len(x) > 200 and x.count(" ") < 0.12 * len(x)) >= 0.8 * total:
         return True
-    if len(lines) <= 15 or total <= 1500 or text.count("(") + text.count("=") > 0.015 * total:  # calls and assignments: code
-        return False
+    if len(lines) <= 15 or total <= 1500 or text.count("(") + text.count("=") - sum(x.lstrip().startswith("(") for x in lines) > 0.015 * total:
+        return False  # calls and assignments, but for rows in brackets: code
     return sum(len(x) for x in lines if len(x) < 400 and len(x) > 12 and _DATA_LINE.fullmatch(x)) >= 0.85 * total
 
 

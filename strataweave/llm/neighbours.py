@@ -224,7 +224,8 @@ def neighbours(entities: DataFrame, k: int = K, least: float = MIN_COSINE, facto
         a, b, s = (np.concatenate(c) for c in zip(*out))
         return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "s": np.round(s, PLACES)})
 
-    hits = blocks.groupBy("i", "j").applyInArrow(block, "a long, b long, s double").where("a <> b")
+    tasks = 2 * (shards if one else shards * (shards + 1) // 2)
+    hits = blocks.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(block, "a long, b long, s double").where("a <> b")
     own = (queries if one else classes).select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("s"))
     lists = _lists(hits.unionByName(own), members, k)
     who = members.where(asked) if one else members

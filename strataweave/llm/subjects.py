@@ -226,7 +226,7 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, parts:
     emb, out = init(len(subjects))
     adam = Adam(emb, out)
     name = str(id(adam)) + data.inputFiles()[0] if data.inputFiles() else ""
-    grouped = data.groupBy("part")
+    grouped = data.repartition(parts, "part").groupBy("part")  # by number, so that small parts stay tasks of their own
     for _ in range(rounds):
         handle = spark.sparkContext.broadcast((emb, out))  # buckets times dimensions, whatever the data
 

@@ -20,6 +20,7 @@ def test_places_and_shape():
     assert all(map(A.owned_place, ["web/node_modules/x/a.js", "a\\obj\\Debug\\b.cs", "x/a.min.js", "x/a_pb2.py", "x/A.Designer.cs", "x/package-lock.json", "a/libs/external/x.js", "src/generated/a.ts"]))
     assert not any(map(A.owned_place, ["src/Vendors/A.cs", "src/External/a.ts", "src/Packages/a.ts", "config/a.json", "a/objects/x.py", "minutes/a.js", ""]))
     assert A.shape(MIN) and A.shape("T = [\n" + "    1, 2.5, 0x3, 4, 5, 6, 7, 8, 9,\n" * 80 + "]\n")
+    assert A.shape("INSERT INTO t (a, b) VALUES\n" + "".join(f"({i}, 'row number {i} of many', {i}.5),\n" for i in range(90)) + "(0, 'end', 0);\n")
     assert not A.shape(CODE.format(3) + 'const QUERY = "' + "a = 1 OR " * 400 + '";') and not A.shape("") and not A.shape("T = [1, 2]\n")
 
 
