@@ -2,11 +2,11 @@ import os
 
 import pytest
 
-from strataweave.queries import general, graph, history, knowledge, more
+from strataweave.queries import general, graph, history, knowledge, more, resolving
 from tests.oracle import agree, connect
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = [general, graph, history, knowledge, more]
+MODULES = [general, graph, history, knowledge, more, resolving]
 PAIRS = [(n, f, m.oracle_sql().get(n)) for m in MODULES for n, f in m.queries().items()]
 
 
