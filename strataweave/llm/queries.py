@@ -112,6 +112,19 @@ k AS (SELECT * FROM g INTERSECT SELECT * FROM a EXCEPT SELECT * FROM x)
 """
 
 
+_VECTORS = """WITH e AS (SELECT id, arg_max(t, (u, t)) AS t FROM (SELECT id, coalesce(embedding_json, '') AS t, updated_at AS u FROM memory_entities_v2 WHERE id IS NOT NULL) GROUP BY id),
+j AS (SELECT id, CAST(t AS JSON) AS j FROM e WHERE json_valid(t)), a AS (SELECT id, CAST(j AS JSON[]) AS j FROM j WHERE json_type(j) = 'ARRAY' AND json_array_length(j) = 64),
+x AS (SELECT id, list_transform(j, lambda y: CAST(y AS DOUBLE)) AS v FROM a WHERE len(list_filter(j, lambda y: y IS NULL OR json_type(y) NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT'))) = 0),
+n AS (SELECT id, list_transform(v, lambda y: y / m) AS v FROM (SELECT id, v, list_max(list_transform(v, lambda y: abs(y))) AS m FROM x) WHERE m > 0 AND isfinite(m)),
+u AS (SELECT id, list_transform(v, lambda y: y / sqrt(s)) AS v FROM (SELECT id, v, list_dot_product(v, v) AS s FROM n)), p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 10) AS s FROM u a, u b WHERE a.id <> b.id{0})
+"""
+
+_REASONS = """, b AS (SELECT username, chat_id, min(i) <> 0 OR max(i) <> count(DISTINCT i) - 1 OR count(i) < count(*) AS gap, count(*) > count(DISTINCT i) AS forked, bool_or(t = '') AS blank, bool_or(r = '?') AS odd FROM s GROUP BY ALL),
+w AS (SELECT username, chat_id, bool_and((r = 'user') = (k % 2 = 1)) AS alternate, max(n) % 2 = 0 AS replied FROM ua GROUP BY ALL), o AS (SELECT username, chat_id, true AS lost FROM x GROUP BY ALL), d AS (SELECT DISTINCT username, chat_id FROM m),
+z AS (SELECT CASE WHEN gap IS NULL THEN 'nothing stored' WHEN gap THEN 'gap' WHEN forked THEN 'fork' WHEN blank THEN 'blank message' WHEN odd THEN 'unknown role' WHEN alternate IS NULL THEN 'no reply' WHEN NOT alternate THEN 'speakers do not alternate' WHEN NOT replied THEN 'no reply' WHEN lost THEN 'submitted history differs' ELSE 'kept' END AS reason
+  FROM d LEFT JOIN b USING (username, chat_id) LEFT JOIN w USING (username, chat_id) LEFT JOIN o USING (username, chat_id)) SELECT reason, count(*) AS conversations FROM z GROUP BY 1"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_rates, p5_found, p5_handwritten, p7_found, p7_neighbours, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
 
@@ -120,5 +133,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _CHATS + "SELECT DISTINCT username, chat_id FROM m EXCEPT SELECT * FROM k",
         "p1_conversations": _CHATS + "SELECT s.username, s.chat_id, s.i AS turn, s.r AS role, s.t AS text FROM s JOIN k ON s.username = k.username AND s.chat_id = k.chat_id",
+        "p1_reasons": _CHATS + _REASONS,
+        "p7_found": _VECTORS.format("") + ", r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM p WHERE s >= 0.85) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 10",
+        "p7_neighbours": _VECTORS.format(" AND a.id % 100 = 0") + "SELECT a AS id_a, b AS id_b, s AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS INT) AS rank FROM p QUALIFY rank <= 10",
         "p2_found": f"SELECT DISTINCT page_id, revision, chunk_index FROM convention_chunks WHERE length(text) > 4000 OR len(regexp_extract_all(text, '[^{_WS}]+')) > 512",
     }
