@@ -43,7 +43,10 @@ def modularity(adj: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _graph(adj: DataFrame) -> dict[str, dict[str, float]]:
-    rows = adj.orderBy("a", "b").limit(LIMIT_NODES * 50).collect()  # pairs of repositories
+    rows = adj.limit(LIMIT_NODES * 50 + 1).collect()  # pairs of repositories
+    if len(rows) > LIMIT_NODES * 50:
+        raise ValueError(f"more than {LIMIT_NODES * 50} pairs of repositories")
+    rows.sort()
     graph: dict[str, dict[str, float]] = {}
     for a, b, w in rows:
         graph.setdefault(a, {})[b] = w

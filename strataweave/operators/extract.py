@@ -105,7 +105,62 @@ def csharp(path: str, text: str) -> Rows:
             yield ("edge", owner, None, None, kind, next(g for g in m.groups() if g), _line(clean, m.start()))
 
 
-REGISTRY: dict[str, Callable[[str, str], Rows]] = {"py": python, "sql": sql, "tf": terraform, "cs": csharp}
+# Declarations, and imports, of languages that are read by pattern: (label, pattern with the name).
+DECLARATIONS: dict[str, list[tuple[str, str]]] = {
+    "go": [("Function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[(\[]"), ("Class", r"^type\s+(\w+)\s+struct\b"), ("Interface", r"^type\s+(\w+)\s+interface\b")],
+    "java": [("Class", r"\b(?:class|record|enum)\s+(\w+)"), ("Interface", r"\binterface\s+(\w+)"), ("Method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*\(")],
+    "rs": [("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)"), ("Class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)"), ("Interface", r"^\s*(?:pub\s+)?trait\s+(\w+)")],
+    "ts": [("Class", r"\bclass\s+(\w+)"), ("Interface", r"\binterface\s+(\w+)"), ("Function", r"\bfunction\s+(\w+)"), ("Method", r"^\s+(?:(?:public|private|protected|static|async)\s+)*(?!if|for|while|switch|catch|return|function\b)(\w+)\s*\([^)]*\)\s*(?::[^{;]+)?\{")],
+    "rb": [("Class", r"^\s*(?:class|module)\s+([\w:]+)"), ("Method", r"^\s*def\s+(?:self\.)?([\w?!]+)")],
+    "php": [("Class", r"\b(?:class|trait)\s+(\w+)"), ("Interface", r"\binterface\s+(\w+)"), ("Function", r"\bfunction\s+(\w+)\s*\(")],
+    "c": [("Function", r"^(?:[\w*]+\s+)+\**(\w+)\s*\([^;{]*\)\s*\{"), ("Class", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{")],
+    "sh": [("Function", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{")],
+    "cfm": [("Function", r'(?i)<cffunction\b[^>]*\bname\s*=\s*"(\w+)"'), ("Class", r'(?i)<cfcomponent\b[^>]*\bdisplayname\s*=\s*"([^"]+)"')],
+}
+IMPORTS = {
+    "go": r'^\s*(?:import\s+)?(?:\w+\s+)?"([\w./-]+)"\s*$', "java": r"^import\s+(?:static\s+)?([\w.*]+);", "rs": r"^\s*use\s+([\w:]+)", "ts": r"""\bfrom\s+['"]([^'"]+)['"]""", "rb": r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]""", "php": r"^use\s+([\w\\\\]+)",
+    "c": r'^\s*#include\s+[<"]([^>"]+)[>"]', "sh": r"^\s*(?:source|\.)\s+(\S+)", "cfm": r'(?i)<cfinclude\b[^>]*\btemplate\s*=\s*"([^"]+)"',
+}
+_ALIKE = {"js": "ts", "tsx": "ts", "jsx": "ts", "h": "c", "cpp": "c", "cc": "c", "hpp": "c", "bash": "sh", "cfc": "cfm"}
+
+
+def by_pattern(kind: str) -> Callable[[str, str], Rows]:
+    """An extractor of declarations and imports, by the patterns of one language, outside comments."""
+
+    def run(path: str, text: str) -> Rows:
+        comment = r"(?m)^\s*#(?!include).*" if kind in ("rb", "sh") else r"(?m)(?<![:'\"])//[^\n]*|/\*[\s\S]*?\*/"
+        clean = re.sub(comment, lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+        owner = path
+        found = sorted((m.start(1), label, m[1]) for label, p in DECLARATIONS[kind] for m in re.finditer(p, clean, re.M))
+        for at, label, name in found:
+            qn = f"{owner if label == 'Method' else path}::{name}"
+            yield ("node", qn, name, label, None, None, _line(clean, at))
+            yield ("edge", owner if label == "Method" else path, None, None, "DEFINES_METHOD" if label == "Method" else "DEFINES", qn, _line(clean, at))
+            if label in ("Class", "Interface"):
+                owner = qn
+        for m in re.finditer(IMPORTS[kind], clean, re.M):
+            yield ("edge", path, None, None, "IMPORTS", m[1], _line(clean, m.start()))
+
+    return run
+
+
+def ansible(path: str, text: str) -> Rows:
+    """Plays, tasks, roles and what they include, notify and template."""
+    owner = path
+    for i, line in enumerate(text.splitlines(), 1):
+        if m := re.match(r"\s*-\s+name:\s*(.+?)\s*$", line):
+            owner = f"{path}::{m[1].strip(chr(34) + chr(39))}"
+            yield ("node", owner, m[1].strip("\"'"), "AnsibleTask", None, None, i)
+            yield ("edge", path, None, None, "DEFINES", owner, i)
+        elif m := re.match(r"\s*(?:-\s+)?(hosts|notify|src|role|include_tasks|import_tasks|import_playbook)\s*:\s*([^\s#][^#]*?)\s*$", line):
+            kind = {"hosts": "TARGETS", "notify": "NOTIFIES", "src": "TEMPLATES", "role": "INCLUDES"}.get(m[1], "INCLUDES")
+            yield ("edge", owner, None, None, kind, m[2].strip("\"'"), i)
+        elif m := re.match(r"\s*(?:ansible\.builtin\.)?(?:include|import)_role:\s*$", line):
+            yield ("edge", owner, None, None, "INCLUDES", "role", i)
+
+
+REGISTRY: dict[str, Callable[[str, str], Rows]] = {"py": python, "sql": sql, "tf": terraform, "cs": csharp, "yml": ansible, "yaml": ansible}
+REGISTRY |= {k: by_pattern(k) for k in DECLARATIONS} | {k: by_pattern(v) for k, v in _ALIKE.items()}
 
 
 def extract(files: DataFrame, registry: dict[str, Callable[[str, str], Rows]] | None = None) -> DataFrame:

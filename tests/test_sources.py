@@ -60,6 +60,16 @@ def test_extractors(spark):
     assert [(r["path"], r["name"]) for r in rows if r["kind"] == "error"] == [("b.py", "SyntaxError")] and not any(r["target"] in ("nope", "z") for r in rows)
 
 
+def test_pattern_extractors():
+    get = lambda ext, text: {(k, label or type, name or target) for k, _, name, label, type, target, _ in X.REGISTRY[ext]("f", text)}
+    assert {("node", "Function", "Do"), ("node", "Class", "T"), ("edge", "IMPORTS", "fmt")} <= get("go", 'import (\n\t"fmt"\n)\ntype T struct {}\nfunc (t *T) Do() {}\n// func No() {}\n')
+    assert {("node", "Class", "A"), ("node", "Method", "run"), ("edge", "IMPORTS", "x.Y")} <= get("java", "import x.Y;\npublic class A {\n  public static void run(int a) { }\n}")
+    assert {("node", "Interface", "I"), ("node", "Function", "f"), ("edge", "IMPORTS", "./z")} <= get("ts", "import { a } from './z';\nexport interface I { }\nfunction f() { }\nclass C { go(): void { if (a) { } } }") and ("node", "Method", "if") not in get("ts", "class C {\n  go() {\n    if (a) {\n } } }")
+    assert {("node", "Class", "S"), ("node", "Function", "f")} <= get("rs", "pub struct S;\npub fn f() { }") and ("edge", "IMPORTS", "a.h") in get("cpp", '#include "a.h"\nint main(void) {\n}')
+    assert {("node", "AnsibleTask", "Install it"), ("edge", "NOTIFIES", "restart"), ("edge", "TARGETS", "web")} <= get("yml", "- hosts: web\n  tasks:\n  - name: Install it\n    notify: restart\n")
+    assert get("rb", "") == set()
+
+
 def test_text_helpers():
     assert X.diff_spans("--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n@@ -9,2 +3 @@\n@@ -20 +30,0 @@\n+++ /dev/null\n@@ -1 +0,0 @@\n") == [("x", 1, 3), ("x", 30, 30)]
     assert X.first_json('<think>{"no":1}</think> so: ```json\n{"a": "}", "b": [1]}\n``` end') == '{"a": "}", "b": [1]}' and X.first_json("none {") is None
