@@ -205,7 +205,7 @@ def fit(rows: list[tuple[str, str, str]]) -> Model | None:
 def sample_of(files: DataFrame, size: int) -> DataFrame:
     """About `size` rows by hash of the id: (project, path, content)."""
     rows = files.where(F.col("content").isNotNull() & (F.col("content") != ""))
-    n = rows.count()
+    n = files.count()  # from the files' footers, without reading contents
     share = min(1.0, size / max(1, n))
     keep = F.col("u") < F.lit(share)
     return rows.withColumn("u", F.xxhash64("file_id", F.lit(11)) / 2.0**64 + 0.5).where(keep).dropDuplicates(["file_id"]).select(F.coalesce(project_key(F.col("project")), F.lit("")).alias("project"), F.coalesce("file_path", F.lit("")).alias("file_path"), "content")

@@ -47,6 +47,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return X.parse_files(table(spark, d, "source_files")).where("error_at is not null").select("file_id")
 
 
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Project, language and line of the first error of every invalid file."""
+    return X.parse_files(table(spark, d, "source_files")).where("error_at is not null").select("file_id", "project", "language", F.col("error_at").alias("line"))
+
+
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return X.parse_rates(X.parse_files(table(spark, d, "source_files")))
 
@@ -126,7 +131,7 @@ z AS (SELECT CASE WHEN gap IS NULL THEN 'nothing stored' WHEN gap THEN 'gap' WHE
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_rates, p5_found, p5_handwritten, p7_found, p7_neighbours, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_errors, p3_rates, p5_found, p5_handwritten, p7_found, p7_neighbours, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -173,6 +173,19 @@ class Language:
         return self.parser.error(s, self.starts[0])
 
 
+    def line_of(self, text: str, index: int) -> int:
+        """The line, from 1, of the token with that index; the last line at the end."""
+        text = (text[1:] if text.startswith("\ufeff") else text).replace("\r\n", "\n").replace("\r", "\n")
+        at = 0
+        for m in self.lexer.finditer(text):
+            t = m.group()
+            if self.known.get(t) or (self.kind == "sql" and self.known.get(t.upper())) or self.other(t):
+                if at == index:
+                    return text.count("\n", 0, m.start()) + 1
+                at += 1
+        return text.rstrip("\n").count("\n") + 1
+
+
 class Python(Language):
     def stream(self, text: str) -> str:
         """With NEWLINE, INDENT and DEDENT as the indentation has it."""
@@ -224,6 +237,16 @@ class Python(Language):
             return bad
 
 
+    def line_of(self, text: str, index: int) -> int:
+        try:
+            ast.parse(text[1:] if text.startswith("\ufeff") else text)
+        except SyntaxError as e:
+            return e.lineno or 1
+        except (ValueError, RecursionError, MemoryError):
+            pass
+        return 1
+
+
 _JSON_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
 _JS_HOLE = re.compile(r"\$\{((?:[^{}`]|`[^`]*`|\{[^{}]*\})*)\}")
 _CS_HOLE = re.compile(r"\{((?:\([^(){}]*\)|[^{}\":,()]|\"(?:[^\"\\]|\\.)*\"|::|,(?![ \d-]*[}:]))*)(?:[,:][^{}]*)?\}")
@@ -254,19 +277,25 @@ def first_error(ext: str, content: str | None) -> int | None:
     return language(ext).error(content)
 
 
+def first_error_line(ext: str, content: str | None) -> int | None:
+    """Line of the first unrecoverable error; None as for `first_error`."""
+    at = first_error(ext, content)
+    return None if at is None else language(ext).line_of(content, at)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(path), r"\.([A-Za-z]+)$", 1))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """(file_id, project, language, error_at) once per file; error_at is null for valid files and those that are no case.
+    """(file_id, project, language, error_at) once per file; error_at, the line of the first error, is null for valid files and those that are no case.
 
     Files are parsed where they are read; only the verdicts are shuffled."""
     rows = files.select("file_id", project_key(F.col("project")).alias("project"), extension(F.col("file_path")).alias("ext"), F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("at"), "content")
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            errors = [first_error(e, c) for e, c in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
+            errors = [first_error_line(e, c) for e, c in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(errors, pa.int64())], ["file_id", "project", "ext", "at", "error_at"])
 
     parsed = rows.mapInArrow(verdicts, "file_id long, project string, ext string, at long, error_at long")
