@@ -9,7 +9,8 @@ takes one step.
 
 A document is about the subjects that enough of its sentences are about: how many, given how many of its
 sentences have a subject at all, is read off the labelled documents (`fit_rule`), so that a sentence in passing in a longer
-text does not count while a text of one sentence does.
+text does not count while a text of one sentence does.  Labelled documents all have a subject, so for a single sentence in
+an otherwise general text the length decides (`LONE`).
 
 Defined cases: null, blank and purely general texts have no subjects; identifiers, markup, front matter and entities
 are no words; labels of unknown documents or null subjects are ignored, repeated ones count once; at most
@@ -40,7 +41,11 @@ ROUNDS, RATE = 30, 0.25
 #: Partitions that compute gradients.
 PARTS = 6
 #: Probability from which a sentence is about a subject.
-SURE = 0.5
+SURE = 0.4
+#: Log-odds by which it must exceed the subject's share of the labelled documents, which general sentences come near.
+LIFT = 1.0
+#: In a text of more sentences than this, one sentence alone makes no subject.
+LONE = 6
 
 _FRONT = re.compile(r"\A\s*---\r?\n[\s\S]*?\n---\s*(?:\n|\Z)")
 _TAG = re.compile(r"<[^<>]{1,200}>|https?://\S+|!?\[([^\]]*)\]\([^)]*\)")
@@ -126,11 +131,15 @@ class Model:
     emb: np.ndarray
     out: np.ndarray
     rule: np.ndarray | None = None
+    shares: np.ndarray | None = None
 
     def sentence_hits(self, sents: list[list[str]]) -> np.ndarray:
         """For each sentence and subject, whether the sentence is about it: its likeliest subject, if that is sure."""
         z = Batch.of(sents).hidden(self.emb) @ self.out[:-1] + self.out[-1]
-        return (z >= np.log(SURE / (1 - SURE))) & (z == z.max(1, keepdims=True))
+        least = np.log(SURE / (1 - SURE))
+        if self.shares is not None:
+            least = np.maximum(least, np.log(self.shares / (1 - self.shares)) + LIFT)
+        return (z >= least) & (z == z.max(1, keepdims=True))
 
 
 #: Numbers of sentences are told apart up to this; beyond, the share of the sentences decides.
@@ -170,6 +179,8 @@ def fit_rule(seen: dict[tuple[int, int, bool], int]) -> np.ndarray:
 
 def decide(hits: np.ndarray, rule: np.ndarray) -> np.ndarray:
     per, n = counts_of(hits)
+    if n == 1 and len(hits) > LONE:
+        return np.zeros(0, dtype=np.int64)
     return np.array([i for i, k in enumerate(per) if k and (b := binned(int(k), n))[1] >= rule[b[0]]], dtype=np.int64)
 
 
@@ -246,7 +257,9 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, parts:
             g_out += np.frombuffer(r["o"], np.float32).reshape(out.shape)
         handle.destroy()
         adam.step(g_emb, g_out)
-    model = Model(subjects, emb, out)
+    tagged = {r["s"]: r["n"] for r in data.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}  # the list of subjects
+    n_docs = max(1, data.count())
+    model = Model(subjects, emb, out, shares=np.clip(np.array([tagged.get(s, 0) / n_docs for s in subjects]), 0.01, 0.9))
     handle = spark.sparkContext.broadcast(model)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ def frames(spark, docs, labels):
 def test_held_out_accuracy_and_special_texts(spark):
     docs, labels = corpus(160, 1)
     more, truth = corpus(80, 2)
-    special = [(9001, None), (9002, "  \n"), (9003, "Please rebase before merging."), (9004, "The verdict form now accepts a statute."), (9005, "verdict statute. " * 20_000), (9004, "The verdict form now accepts a statute.")]
+    special = [(9001, None), (9002, "  \n"), (9003, "Please rebase before merging."), (9004, "The verdict form now accepts a statute."), (9005, "verdict statute. " * 20_000), (9006, "Please rebase before merging. " * 9 + "The verdict form now accepts a statute."), (9004, "The verdict form now accepts a statute.")]
     known, ldf = frames(spark, docs, [*labels, *labels[:5], (None, "law"), (77777, "law"), (3, None)])
     model = S.train(known, ldf, rounds=25, parts=3)
     assert model.subjects == sorted(TERMS)
