@@ -310,7 +310,7 @@ def _secrets_sql() -> str:
         pick = f"SELECT file_id, path, line_number, {q(name + ' detected')} AS title, '{severity}' AS severity, regexp_extract(line, {q(pattern)}, 1) AS v, {str(check).lower()} AS chk FROM ok WHERE {cond}"
         parts.append(pick)
     marks = ", ".join(f"'{m}'" for m in X.NON_PRODUCTION)
-    conf = "regexp_matches(lower(regexp_extract(path, '[^/\\\\]*$')), '^(appsettings.*\.json|\.env.*|web\.config|app\.config|environment\.config|launchsettings\.json|secrets\.json|docker-compose.*\.ya?ml)$')"
+    conf = "regexp_matches(lower(regexp_extract(path, '[^/\\\\]*$')), '^(appsettings.*\\.json|\\.env.*|web\\.config|app\\.config|environment\\.config|launchsettings\\.json|secrets\\.json|docker-compose.*\\.ya?ml)$')"
     return f"""WITH f AS (SELECT DISTINCT ON (file_id) file_id, file_path AS path, content || CASE WHEN file_id % 97 = 0 THEN {_PLANTED} ELSE '' END AS c FROM source_files WHERE content IS NOT NULL),
 l AS (SELECT file_id, path, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1) AS line_number FROM f),
 ok AS (SELECT * FROM l WHERE NOT list_has_any(regexp_split_to_array(lower(path), '[/\\\\._\\- ]+'), [{marks}]) AND NOT list_has_any(regexp_split_to_array(lower(path), '[/\\\\]+'), [{marks}]) AND trim(line, ' ') <> '' AND NOT starts_with(ltrim(line, ' '), '//') AND NOT regexp_matches(line, {q(X.PLACEHOLDER)}) AND NOT regexp_matches(line, {q('(?i)(?:' + '|'.join(X.FALSE_POSITIVES) + ')')})),
