@@ -71,3 +71,43 @@ def penalised(health: Column, status: Column) -> Column:
 def newest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """The n newest rows of each key."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_r") <= n).drop("_r")
+
+
+def next_run(cron: str, after: datetime) -> datetime:
+    """The first minute after a time that a five-field cron expression names (lists, ranges, steps; 7 is Sunday).
+
+    As usual, where both day fields are restricted either of them is enough."""
+    from datetime import timedelta
+
+    limits = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)]
+    parts = cron.split()
+    if len(parts) != 5:
+        raise ValueError("five fields are needed")
+
+    def field(text: str, low: int, high: int) -> set[int]:
+        out: set[int] = set()
+        for part in text.split(","):
+            span, _, step = part.partition("/")
+            first, _, last = (f"{low}-{high}" if span == "*" else span).partition("-")
+            stop = int(last) if last else high if step else int(first)
+            if not low <= int(first) <= stop <= high:
+                raise ValueError(f"out of range: {part}")
+            out |= set(range(int(first), stop + 1, int(step or 1)))
+        return out
+
+    minute, hour, day, month, weekday = (field(p, *r) for p, r in zip(parts, limits))
+    weekday = {d % 7 for d in weekday}
+    at = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    end = at + timedelta(days=366 * 8)
+    while at < end:
+        by_day, by_week = at.day in day, (at.weekday() + 1) % 7 in weekday
+        on = by_day and by_week if "*" in (parts[2][:1], parts[4][:1]) else by_day or by_week
+        if at.month not in month or not on:
+            at = at.replace(hour=0, minute=0) + timedelta(days=1)
+        elif at.hour not in hour:
+            at = at.replace(minute=0) + timedelta(hours=1)
+        elif at.minute not in minute:
+            at += timedelta(minutes=1)
+        else:
+            return at
+    raise ValueError("no such time comes")

@@ -103,3 +103,30 @@ def test_memory_graph(spark):
     assert {r["what"]: r["n"] for r in MG.counts(ents, claims, edges).collect()} == {"claims active": 2, "claims conflicted": 1, "entities": 6, "edges": 1, "orphan entities": 1}
     assert sorted(map(tuple, MG.relations(edges, ents.where("id = 10")).collect())) == [(10, "in", 14, "knows")]
     assert MG.induced(ents.where("id > 11"), edges).count() == 0 and MG.bundle(claims, 11).count() == 2
+
+
+def test_cron():
+    d = datetime
+    assert G.next_run("*/15 * * * *", d(2024, 1, 1, 0, 14, 30)) == d(2024, 1, 1, 0, 15)
+    assert G.next_run("0 3 * * 1", d(2024, 1, 1, 3, 0)) == d(2024, 1, 8, 3, 0)
+    assert G.next_run("30 2 29 2 *", d(2024, 3, 1)) == d(2028, 2, 29, 2, 30)
+    assert G.next_run("0 0 13 * 5", d(2024, 1, 1)) == d(2024, 1, 5)
+    assert G.next_run("5-10/5,40 1 1 1 7", d(2024, 1, 1, 1, 6)) == d(2024, 1, 1, 1, 10)
+    for bad in ("* * * *", "61 * * * *", "0 0 31 2 *", "a * * * *"):
+        with pytest.raises(ValueError):
+            G.next_run(bad, d(2024, 1, 1))
+
+
+def test_memory_seeds_and_signals(spark):
+    t = datetime(2024, 1, 1)
+    claims = spark.createDataFrame([(1, 10, 11, "active", t), (2, 12, None, "active", t)], "claim_id long, subject_id long, object_id long, status string, recorded_at timestamp")
+    ents = lambda kind: spark.createDataFrame([(99, 60.0, kind)], "id long, score double, kind string")
+    cs = spark.createDataFrame([(1, "exact"), (2, "vector")], "claim_id long, kind string")
+    assert {r["id"]: r["score"] for r in MG.anchored_seeds(ents("vector"), cs, claims, 9).collect()} == {10: 95.0, 11: 95.0, 12: 70.0}
+    assert [r["id"] for r in MG.anchored_seeds(ents("lexical"), cs, claims, 9).collect()] == [99]
+    seeds = spark.createDataFrame([(1, "c_1", "wallet is late", None, "is", t, 100.0, "exact"), (2, "my-wallet", "x", None, "is", t, 100.0, "exact"), (3, "c", "nothing", None, None, t, 100.0, "exact"), (4, "c", None, None, None, t, 41.0, "vector"), (5, "c_5", "my old wallet", None, "is", t, 100.0, "exact")], "claim_id long, external_id string, normalized_text string, value_text string, predicate string, recorded_at timestamp, score double, kind string")
+    assert {r["claim_id"]: (r["score"], r["kind"]) for r in MG.sanitised(seeds, "My wallet", 9).collect()} == {2: (100.0, "exact"), 5: (90.0, "lexical"), 4: (41.0, "vector")}
+    got = [(r["kind"], r["id"]) for r in MG.frontier(spark.createDataFrame([(10,)], "id long"), claims, 5).collect()]
+    assert got == [("claim", "1"), ("entity", "11")]
+    diag = spark.createDataFrame([(1, 0, 0, 2)], "stale_queued long, stale_processing long, retrying long, failed long")
+    assert [r["signal"] for r in MG.health_signals(diag, 1).collect()] == ["stale_queued_writes", "failed_writes_present", "orphaned_claim_graph_rows"]
