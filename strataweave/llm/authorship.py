@@ -32,7 +32,11 @@ from strataweave.llm.syntax import language
 #: Files that the classifier is trained and validated on, at most about.
 SAMPLE = 4000
 #: Least precision of the threshold on held-out repositories.
-PRECISION = 0.99
+PRECISION = 0.999
+#: Least threshold: a file must lie this far on the foreign side (support vectors lie at 1).
+MARGIN = 0.3
+#: Bytes of masked text below which there is too little to judge a file by; the exact check alone decides such files.
+LEAST_TEXT = 300
 #: The owner of the repositories; its own notices mark no foreign file.
 OWNER = "harborline"
 TEXT_DIMS, PATH_DIMS, GRAM = 8192, 2048, 5
@@ -64,7 +68,7 @@ _HINTS = (
     "|license|licence|spdx|copyright|(c) |released under|redistribution|permission is|this file|regenerate"
 ).split("|")
 _FOREIGN_HINTS = ("__", "VERSION", "UPSTREAM", "Version", "GeneratedCode")
-_HEAD = re.compile(r"^\s*(?:/\*[\s\S]*?\*/\s*|(?://|#|--)[^\n]*\n\s*)+")
+_HEAD = re.compile(r"^\s*(?:/\*[\s\S]*?\*/\s*|(?://|#|--)[^\n]*(?:\n\s*|$))+")
 _DATA_LINE = re.compile(r"""\s*[\[{(]*(?:\s*(?:-?\d[\w.]*|0x\w+|[bBrRuU]?'[^'\n]*'|[bBrRuU@]?"[^"\n]*"|null|["']?\w+["']?\s*:\s*(?:-?\d[\d.]*|"[^"\n]*"|'[^'\n]*'))\s*[+,)}\]]*)+[);]*\s*""")
 
 
@@ -133,7 +137,9 @@ def masked(text: str) -> str:
 def features(path: str, text: str) -> np.ndarray:
     """Unit vector of hashed character n-grams beside hashed path components."""
     out = np.zeros(TEXT_DIMS + PATH_DIMS, dtype=np.float32)
-    raw = np.frombuffer(masked(text).encode(), dtype=np.uint8).astype(np.uint32)
+    raw = np.frombuffer(masked(text).strip().encode(), dtype=np.uint8).astype(np.uint32)
+    if len(raw) < LEAST_TEXT:
+        return out
     if len(raw) >= GRAM:
         h = np.zeros(len(raw) - GRAM + 1, dtype=np.uint32)
         for k in range(GRAM):
@@ -158,6 +164,11 @@ class Model:
     threshold: float
     report: dict
 
+    def score(self, path: str, text: str) -> float:
+        """Distance above the threshold; -1 for a file whose masked text says nothing."""
+        x = features(path, text)
+        return float(x @ self.weights + self.bias - self.threshold) if x.any() else -1.0
+
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Squared-hinge support-vector machine, by accelerated gradient descent; both kinds of label weigh the same."""
@@ -196,7 +207,7 @@ def fit(rows: list[tuple[str, str, str]]) -> Model | None:
     precise = np.nonzero(hits / np.arange(1, len(order) + 1) >= PRECISION)[0]
     ranked = np.append(s[order], -1.0)
     # Half-way to the next score below.
-    threshold = max(float(ranked[precise[-1]] + ranked[precise[-1] + 1]) / 2, 0.0) if len(precise) else float("inf")
+    threshold = max(float(ranked[precise[-1]] + ranked[precise[-1] + 1]) / 2, MARGIN) if len(precise) else float("inf")
     taken = s >= threshold
     report = {"held_out": int(check.sum()), "precision": float((y[check][taken] > 0).mean()) if taken.any() else 1.0, "recall": float(taken[y[check] > 0].mean()) if (y[check] > 0).any() else 1.0}
     return Model(w, b, threshold, report)
@@ -232,7 +243,7 @@ def classify(files: DataFrame, model: Model | None = None) -> DataFrame:
                     scores.append(None)
                     continue
                 checked.append(owned_place(p) or notices(p, t) or shape(t))
-                scores.append(float(features(p, t) @ m.weights + m.bias - m.threshold) if m else -1.0)
+                scores.append(m.score(p, t) if m else -1.0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(checked, pa.bool_()), pa.array(scores, pa.float64())], ["file_id", "project", "dotnet_project", "at", "checked", "score"])
 
     scored = rows.mapInArrow(verdicts, "file_id long, project string, dotnet_project string, at long, checked boolean, score double")

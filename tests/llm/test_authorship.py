@@ -30,7 +30,7 @@ def test_classifier_learns_shape_and_place():
     assert m.report["precision"] >= 0.99 and m.report["recall"] > 0.9
     assert A.features("web/z/x.js", MIN) @ m.weights + m.bias >= m.threshold > A.features("web/src/a.js", CODE.format(9)) @ m.weights + m.bias
     assert A.fit([]) is None and A.fit(rows[:5]) is None
-    assert abs(np.linalg.norm(A.features("", "x" * 100)[: A.TEXT_DIMS]) - 1) < 1e-5 and not A.features("", "")[: A.TEXT_DIMS].any()
+    assert abs(np.linalg.norm(A.features("", "x" * 400)[: A.TEXT_DIMS]) - 1) < 1e-5 and not A.features("", "")[: A.TEXT_DIMS].any()
 
 
 def test_rows(spark):
