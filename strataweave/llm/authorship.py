@@ -1,14 +1,15 @@
 """Generated, minified or vendored source files, and bulk data kept as code.
 
-A linear support-vector classifier scores every file on hashed character n-grams and path components.  It is trained
-on a bounded hash sample of the files (`SAMPLE`) whose labels come from what files say about themselves: notices in
-comments, places that build tools and package managers own, and the measured shape of the text.  Notices are
-masked from the text before its n-grams are taken, so that the classifier learns what such files look like without
-them.  The threshold is set on repositories that took no part in training, for at least `PRECISION` on their labels.
+A linear support-vector classifier scores every file, however short, on hashed character n-grams of its leading comments,
+of the rest of its text, and on path components.  It is trained on a bounded hash sample of the files (`SAMPLE`) whose
+labels come from what files say about themselves: notices in comments, places that build tools and package managers own,
+and the measured shape of the text.  Notices are masked from the rest of the text, not from the leading comments: the
+classifier learns both what such files look like without them and how their first lines read in words that no list has.
+The threshold is set on repositories that took no part in training, for at least `PRECISION` on their labels.
 
-An exact check follows for what is decisive by itself: a notice found in a comment (not in a string) that states a
-tool, a build or another party's licence, which is masked from the classifier; the owned places; the shape.  A file is taken if the check or the
-classifier says so; a file that is neither is hand-written.
+An exact check stands beside it for what is decisive by itself: a notice found in a comment (not in a string) that states a
+tool, a build or another party's licence; the owned places; the shape.  A file is taken if the check or the
+classifier says so (`checked`, `score`); a file that is neither is hand-written.
 
 Defined cases: null and blank content is no case; a null path counts as empty; repeated rows of a file_id count once
 (latest scanned_at); an empty table, or a sample with one kind of label only, leaves the exact check alone; other
@@ -35,11 +36,11 @@ SAMPLE = 4000
 PRECISION = 0.999
 #: Least threshold: a file must lie this far on the foreign side (support vectors lie at 1).
 MARGIN = 0.3
-#: Bytes of masked text below which there is too little to judge a file by; the exact check alone decides such files.
-LEAST_TEXT = 300
 #: The owner of the repositories; its own notices mark no foreign file.
 OWNER = "harborline"
-TEXT_DIMS, PATH_DIMS, GRAM = 8192, 2048, 5
+TEXT_DIMS, PATH_DIMS, HEAD_DIMS, GRAM = 8192, 2048, 8192, 5
+#: Characters of the leading comments that are read.
+HEAD = 2000
 
 # Folders and file names that tools own.
 _OWNED_DIRS = {"node_modules", "bower_components", "vendor", "vendored", "third_party", "thirdparty", "third-party", "extern", "contrib", "obj", "dist", "generated", "__generated__"}
@@ -134,19 +135,32 @@ def masked(text: str) -> str:
     return text
 
 
+def leading(text: str) -> str:
+    """The leading comments, in lower case."""
+    m = _HEAD.match(text.replace("\r\n", "\n").lstrip("\ufeff"))
+    return m.group()[:HEAD].lower() if m else ""
+
+
+def grams(text: str, dims: int) -> np.ndarray:
+    """Unit vector of hashed character n-grams; zero for less than one."""
+    raw = np.frombuffer(text.strip().encode(), dtype=np.uint8).astype(np.uint32)
+    if len(raw) < GRAM:
+        return np.zeros(dims, dtype=np.float32)
+    h = np.zeros(len(raw) - GRAM + 1, dtype=np.uint32)
+    for k in range(GRAM):
+        h = h * np.uint32(16777619) + raw[k : len(raw) - GRAM + 1 + k]
+    h ^= h >> np.uint32(15)
+    counts = np.log1p(np.bincount(h % dims, minlength=dims)).astype(np.float32)
+    return counts / (np.linalg.norm(counts) or 1)
+
+
 def features(path: str, text: str) -> np.ndarray:
-    """Unit vector of hashed character n-grams beside hashed path components."""
-    out = np.zeros(TEXT_DIMS + PATH_DIMS, dtype=np.float32)
-    raw = np.frombuffer(masked(text).strip().encode(), dtype=np.uint8).astype(np.uint32)
-    if len(raw) < LEAST_TEXT:
+    """Unit vectors of the masked text and of the leading comments about hashed path components; zero for a file without a word."""
+    out = np.zeros(TEXT_DIMS + PATH_DIMS + HEAD_DIMS, dtype=np.float32)
+    out[:TEXT_DIMS] = grams(masked(text), TEXT_DIMS)
+    out[TEXT_DIMS + PATH_DIMS :] = grams(leading(text), HEAD_DIMS)
+    if not out.any():
         return out
-    if len(raw) >= GRAM:
-        h = np.zeros(len(raw) - GRAM + 1, dtype=np.uint32)
-        for k in range(GRAM):
-            h = h * np.uint32(16777619) + raw[k : len(raw) - GRAM + 1 + k]
-        h ^= h >> np.uint32(15)
-        grams = np.log1p(np.bincount(h % TEXT_DIMS, minlength=TEXT_DIMS)).astype(np.float32)
-        out[:TEXT_DIMS] = grams / (np.linalg.norm(grams) or 1)
     dirs, name = path_parts(path)
     parts = {f"d:{d.lower()}" for d in dirs} | {f"n:{p}" for p in re.split(r"[._-]", name.lower())[1:]} | {f"c:{d[:1].isupper()}" for d in dirs[-1:]}
     for p in parts:
@@ -165,18 +179,18 @@ class Model:
     report: dict
 
     def score(self, path: str, text: str) -> float:
-        """Distance above the threshold; -1 for a file whose masked text says nothing."""
+        """Distance above the threshold; -1 for a file without a word."""
         x = features(path, text)
         return float(x @ self.weights + self.bias - self.threshold) if x.any() else -1.0
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, c: float = 300.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Squared-hinge support-vector machine, by accelerated gradient descent; both kinds of label weigh the same."""
     n = len(y)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     vw, vb, wp, bp = w, b, w, b
-    step = 1.0 / (2 * c * (2.5 + 1) + 1)
+    step = 1.0 / (2 * c * (3.5 + 1) + 1)
     for t in range(1, rounds + 1):
         slack = np.maximum(0, 1 - y * (x @ vw + vb)) * weight * y
         wn = vw + step * (2 * c * (slack @ x) - vw)
@@ -189,10 +203,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 150)
 
 def fit(rows: list[tuple[str, str, str]]) -> Model | None:
     """rows: (project, path, content). None if the labels are all of one kind."""
-    # A notice is masked from the features, so a file that has nothing else to show would only blur the labels.
-    labels = [1.0 if owned_place(p) or shape(t) else 0.0 if notices(p, t) else -1.0 for _, p, t in rows]
-    rows = [r for r, v in zip(rows, labels) if v]
-    y = np.array([v for v in labels if v], dtype=np.float32)
+    y = np.array([1.0 if owned_place(p) or notices(p, t) or shape(t) else -1.0 for _, p, t in rows], dtype=np.float32)
     if len(rows) == 0 or abs(y.sum()) == len(y):
         return None
     x = np.stack([features(p, t) for _, p, t in rows])

@@ -33,6 +33,16 @@ def test_classifier_learns_shape_and_place():
     assert abs(np.linalg.norm(A.features("", "x" * 400)[: A.TEXT_DIMS]) - 1) < 1e-5 and not A.features("", "")[: A.TEXT_DIMS].any()
 
 
+def test_classifier_finds_what_no_rule_names():
+    """Copies whose only mark is a notice teach the classifier; a changed copy in other words, and a short file, are then found by it alone."""
+    lib = "// plumeio stream kit {0}\n// {1}\nexport class Plume{0} {{\n    pipe(s) {{ return s.lift({0}).tap(this.sink); }}\n}}\n"
+    rows = [(f"p{i % 7}", f"web/src/a{i}.js", "".join(CODE.format(i + k) for k in range(5))) for i in range(90)] + [(f"p{i % 7}", f"web/src/b{i}.js", lib.format(i, "Released under the MIT licence.")) for i in range(60)]
+    m = A.fit(rows)
+    changed = lib.format(77, "free for any use")
+    assert not (A.owned_place("web/src/c.js") or A.notices("web/src/c.js", changed) or A.shape(changed))
+    assert len(A.masked(changed)) < 300 and m.score("web/src/c.js", changed) >= 0 > m.score("web/src/d.js", CODE.format(5))
+
+
 def test_rows(spark):
     d = lambda n: datetime(2024, 1, n)
     rows = [(1, "P", "X", "a/b.js", CODE.format(1), d(1)), (2, "p ", None, "node_modules/a/b.js", CODE.format(2), d(1)), (3, "p", None, "a/c.js", None, d(1)), (4, "p", None, "a/c.js", " \n", d(1)), (5, None, None, None, "x" * 300_000, d(1)), (1, "P", "X", "a/b.js", CODE.format(1), d(1)), (6, "q", None, "a.py", "# @generated\n", None)]
