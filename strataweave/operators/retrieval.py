@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -68,10 +69,13 @@ def hybrid(dense: DataFrame, lexical: DataFrame, titles: DataFrame, k: int) -> D
 
 
 def excerpt(text: Column, terms: list[str]) -> Column:
-    """360 characters from 120 before the first hit, white space collapsed."""
-    hits = [F.when(F.instr(F.lower(text), t.lower()) > 0, F.instr(F.lower(text), t.lower()) - 1) for t in terms]
+    """360 characters from 120 before the first hit, white space of any kind collapsed and none at the ends."""
+    # Lower case can be longer than its text (İ); for terms of ASCII, only ASCII letters need folding, place by place.
+    ascii_lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    at = [F.instr(ascii_lower if t.isascii() else F.lower(text), t.lower()) for t in terms]
+    hits = [F.when(i > 0, i - 1) for i in at]
     first = F.coalesce(F.array_min(F.array_compact(F.array(*hits))), F.lit(0))
-    return F.regexp_replace(F.trim(F.substring(text, F.greatest(F.lit(0), first - 120) + 1, F.lit(360))), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.substring(text, F.greatest(F.lit(0), first - 120) + 1, F.lit(360)), r"[\t-\r\x{85}\p{Z}]+", " "))
 
 
 def windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:

@@ -24,6 +24,13 @@ def test_secrets_placeholders_and_false_positives(spark):
     assert {r["project"]: r["score"] for r in X.score(f).collect()} == {"p": 6.3, "q": 3.5}
 
 
+def test_excerpts_of_any_text(spark):
+    long = "İ" * 200 + "\u00a0größe\r\n\tWALLET\n" + "x" * 400
+    df = spark.createDataFrame([(1, "\n wallet\n\n- zwei\u2003drei \n"), (2, long), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in df.select("doc_id", K.excerpt(F.col("text"), ["wallet", "settlement"])).collect()}
+    assert got == {1: "wallet - zwei drei", 2: "İ" * 111 + " größe WALLET " + "x" * 233, 3: "", 4: None}
+
+
 def test_entropy(spark):
     row = spark.range(1).select(X.entropy(F.lit("aabb")), X.entropy(F.lit("")), X.entropy(F.lit("äöü")), X.looks_secret(F.lit("ResetClientPassword")), X.looks_secret(F.lit("Admin@2024")), X.looks_secret(F.lit(None).cast("string"))).first()
     assert tuple(row) == (1.0, 0.0, 0.0, False, True, False)
