@@ -13,8 +13,8 @@ TEST_SEGMENTS = ["test", "tests", "spec", "specs", "testing", ".tests", ".test"]
 BUG_FIX = r"(?i)\b(fix|bug|broken|defect|patch)\b"
 FIREFIGHTING = r"(?i)\b(hotfix|incident|urgent|emergency|rollback|revert)\b"
 SOURCE_EXTENSIONS = r"(?i)\.(cs|ts|tsx|js|jsx|py|go|rs|java|sql|html|css|scss)$"
-#: Files of one day that take part in co-change pairs.
-PAIR_CAP = 50
+#: Blocks of paths by which the pairs of one day are spread over tasks.
+PAIR_BLOCKS = 8
 
 
 def age_days(as_of: datetime, at: Column) -> Column:
@@ -46,12 +46,18 @@ def weighted_churn(st: DataFrame, as_of: datetime) -> DataFrame:
     return out
 
 
-def cochange_pairs(st: DataFrame, as_of: datetime, days: int = 180, cap: int = PAIR_CAP) -> DataFrame:
-    """(a, b, days): on how many days both paths changed; of a day only its first `cap` paths pair up."""
+def cochange_pairs(st: DataFrame, as_of: datetime, days: int = 180, cap: int | None = None) -> DataFrame:
+    """(a, b, days): on how many days both paths changed; with a `cap`, of a day only its first `cap` paths by name pair up.
+
+    A day's pairs are made by pairs of blocks of its paths, so that a busy day is many tasks' work."""
     daily = st.where(age_days(as_of, F.col("author_date")) <= days).select(F.to_date("author_date").alias("day"), "path").distinct()
-    kept = daily.withColumn("r", F.row_number().over(W.partitionBy("day").orderBy("path"))).where(F.col("r") <= cap)
-    a, b = kept.select("day", F.col("path").alias("a")), kept.select("day", F.col("path").alias("b"))
-    return a.join(b, "day").where("a < b").groupBy("a", "b").agg(F.count("*").alias("days"))
+    if cap is not None:
+        daily = daily.withColumn("r", F.row_number().over(W.partitionBy("day").orderBy("path"))).where(F.col("r") <= cap)
+    block = F.pmod(F.xxhash64("path"), F.lit(PAIR_BLOCKS)).cast("int")
+    each = daily.select("day", "path", block.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))).alias("j")).select("day", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "path", "k")
+    a, b = each.select("day", "x", "y", F.col("path").alias("a"), F.col("k").alias("ka")), each.select("day", "x", "y", F.col("path").alias("b"), F.col("k").alias("kb"))
+    # Two paths of one block meet in every pair of blocks that has theirs, but count in that of the block with itself.
+    return a.join(b, ["day", "x", "y"]).where("a < b and (ka = kb) = (x = y)").groupBy("a", "b").agg(F.count("*").alias("days"))
 
 
 def coupling(pairs: DataFrame, st: DataFrame, as_of: datetime, days: int = 180) -> DataFrame:
@@ -165,10 +171,10 @@ def concern(h: Column, risk: Column, file_role: Column, rec: Column, fixes: Colu
     return F.bround(base * F.when(file_role == "test", 0.5).otherwise(1.0), 1)
 
 
-def file_metrics(commits: DataFrame, touches: DataFrame, as_of: datetime) -> DataFrame:
-    """Health, trust, risk, concern of every path touched within two years; no complexity or lint data."""
+def file_metrics(commits: DataFrame, touches: DataFrame, as_of: datetime, cap: int | None = None) -> DataFrame:
+    """Health, trust, risk, concern of every path touched within two years; no complexity or lint data; `cap` as in cochange_pairs."""
     st = source_touches(commits, touches)
-    j = st.where(age_days(as_of, F.col("author_date")) <= 730).select("path").distinct().join(churn(st, as_of), "path", "left").join(coupling(cochange_pairs(st, as_of), st, as_of), "path", "left").join(knowledge(st, as_of), "path", "left").join(weighted_churn(st, as_of), "path", "left")
+    j = st.where(age_days(as_of, F.col("author_date")) <= 730).select("path").distinct().join(churn(st, as_of), "path", "left").join(coupling(cochange_pairs(st, as_of, cap=cap), st, as_of), "path", "left").join(knowledge(st, as_of), "path", "left").join(weighted_churn(st, as_of), "path", "left")
     j = j.fillna(0, ["changes", "partners", "truck_factor"]).fillna(0.0, ["strength", "churn30d", "churn90d", "churn365d", "fixes365d"])
     zero = F.lit(0)
     sub = subscores(zero, F.col("changes"), F.col("strength"), F.col("partners"), F.col("truck_factor"))

@@ -14,6 +14,8 @@ from strataweave.plans.bind import view as V
 from strataweave.plans.cut import cut
 
 AS_OF = datetime(2001, 8, 1)
+#: Files of one day that pair up in the queries whose SQL has that cap; those named *_all have none.
+PAIR_CAP = 50
 FROM, TO = datetime(2024, 1, 3), datetime(2024, 1, 28)
 
 
@@ -30,10 +32,19 @@ def weighted_churn(s: SparkSession, d: str) -> DataFrame:
 
 
 def cochange_pairs(s: SparkSession, d: str) -> DataFrame:
+    return H.cochange_pairs(_st(s, d), AS_OF, cap=PAIR_CAP)
+
+
+def cochange_pairs_all(s: SparkSession, d: str) -> DataFrame:
     return H.cochange_pairs(_st(s, d), AS_OF)
 
 
 def coupling(s: SparkSession, d: str) -> DataFrame:
+    st = _st(s, d)
+    return H.coupling(H.cochange_pairs(st, AS_OF, cap=PAIR_CAP), st, AS_OF)
+
+
+def coupling_all(s: SparkSession, d: str) -> DataFrame:
     st = _st(s, d)
     return H.coupling(H.cochange_pairs(st, AS_OF), st, AS_OF)
 
@@ -67,8 +78,8 @@ def history_maturity(s: SparkSession, d: str) -> DataFrame:
     return a.select("author", "commits", H.maturity(F.col("first"), F.col("commits"), AS_OF).alias("maturity"))
 
 
-def _metrics(s: SparkSession, d: str) -> DataFrame:
-    return cut(H.file_metrics(V(s, d, "h_commits"), V(s, d, "h_touches"), AS_OF), "metrics")
+def _metrics(s: SparkSession, d: str, cap: int | None = PAIR_CAP) -> DataFrame:
+    return cut(H.file_metrics(V(s, d, "h_commits"), V(s, d, "h_touches"), AS_OF, cap), "metrics")
 
 
 def file_health(s: SparkSession, d: str) -> DataFrame:
@@ -87,6 +98,22 @@ def health_summary(s: SparkSession, d: str) -> DataFrame:
     return H.health_summary(_metrics(s, d).withColumn("brand", F.split("path", "/")[1]), "brand")
 
 
+def file_health_all(s: SparkSession, d: str) -> DataFrame:
+    return _metrics(s, d, None).select("path", "role", "health", "trust", "changes", "partners", "truck_factor")
+
+
+def file_concern_all(s: SparkSession, d: str) -> DataFrame:
+    return _metrics(s, d, None).select("path", "risk", "recurring", "concern")
+
+
+def hotspots_all(s: SparkSession, d: str) -> DataFrame:
+    return _metrics(s, d, None).orderBy(F.desc("risk"), F.desc("health"), "path").limit(25).select("path", "risk", "health")
+
+
+def health_summary_all(s: SparkSession, d: str) -> DataFrame:
+    return H.health_summary(_metrics(s, d, None).withColumn("brand", F.split("path", "/")[1]), "brand")
+
+
 def report_usage_series(s: SparkSession, d: str) -> DataFrame:
     return R.series(V(s, d, "t_tools"), FROM, TO, R.interval(FROM, TO), calls=F.count("*"), failures=F.count_if(~F.col("success")), duration_ms=F.sum("duration_ms"), users=F.countDistinct("username"), avg_ms=F.bround(F.avg("duration_ms"), 2))
 
@@ -123,6 +150,7 @@ def event_normalise(s: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     churn_90d, weighted_churn, cochange_pairs, coupling, truck_factor, monthly_points, activity_status, inactive_streak, firefighting, history_maturity, file_health, file_concern, hotspots, health_summary, report_usage_series,
     report_weeks, report_breakdown, report_breakdown_series, report_facets, event_dedupe, event_normalise,
+    cochange_pairs_all, coupling_all, file_health_all, file_concern_all, hotspots_all, health_summary_all,
 ]
 
 
@@ -158,7 +186,7 @@ fm AS (SELECT *, round_even(CAST((greatest(risk, (10 - health) * 2) + recurring
     rng = "created_at >= TIMESTAMP '2024-01-03' AND created_at < TIMESTAMP '2024-01-28'"
     days = "sp AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-27', INTERVAL 1 DAY)) AS bucket)"
     fire, fix = "regexp_matches(message, '(?i)\\b(hotfix|incident|urgent|emergency|rollback|revert)\\b')", "regexp_matches(message, '(?i)\\b(fix|bug|broken|defect|patch)\\b')"
-    return {
+    sql = {
         "churn_90d": st + ch + " SELECT * FROM ch",
         "weighted_churn": st + wc + " SELECT * FROM wc",
         "cochange_pairs": st + pairs + " SELECT * FROM cp",
@@ -183,3 +211,6 @@ fm AS (SELECT *, round_even(CAST((greatest(risk, (10 - health) * 2) + recurring
         "event_dedupe": t + "SELECT event_id, username, created_at FROM t_tools",
         "event_normalise": t + ", r AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'system' ELSE lower(username) END AS username, greatest(duration_ms - 30, 0) AS input_tokens, event_id % 50 AS output_tokens FROM t_tools) SELECT event_id, username, input_tokens, output_tokens, CASE WHEN event_id % 2 = 0 THEN 7 ELSE input_tokens + output_tokens END AS total_tokens FROM r",
     }
+    capped = "kd AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY day ORDER BY path) <= 50)"
+    every = {f"{k}_all": sql[k].replace(capped, "kd AS (SELECT * FROM dd)") for k in ("cochange_pairs", "coupling", "file_health", "file_concern", "hotspots", "health_summary")}
+    return sql | every

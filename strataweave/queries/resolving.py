@@ -53,13 +53,18 @@ def fleet_health(s: SparkSession, d: str) -> DataFrame:
     return R.fleet(H.health_summary(m, "brand"))
 
 
+def fleet_health_all(s: SparkSession, d: str) -> DataFrame:
+    m = Q._metrics(s, d, None).withColumn("brand", F.split("path", "/")[1])
+    return R.fleet(H.health_summary(m, "brand"))
+
+
 def impact_rollup(s: SparkSession, d: str) -> DataFrame:
     start = G._changed(s, d)
     hit = cut(I.affected(start, V(s, d, "g_nodes"), V(s, d, "g_edges"), V(s, d, "g_cross"), 2), "affected")
     return R.impact_rollup(hit, start, V(s, d, "g_cross"))
 
 
-QUERIES = [call_resolution, import_resolution, dto_projects, vulnerable_packages, cluster_members, cluster_connections, fleet_health, impact_rollup]
+QUERIES = [call_resolution, import_resolution, dto_projects, vulnerable_packages, cluster_members, cluster_connections, fleet_health, fleet_health_all, impact_rollup]
 
 
 def queries() -> dict:
@@ -70,7 +75,7 @@ def oracle_sql() -> dict[str, str]:
     n = f"WITH {cte('g_nodes')} "
     rx = f"WITH {cte('g_repos', 'g_cross')}, l AS (SELECT lower(name) AS p, source_group AS c FROM g_repos), e AS (SELECT lower(source_project) AS s, lower(target_project) AS t, type, a.c AS cs, b.c AS ct FROM g_cross JOIN l a ON a.p = lower(source_project) JOIN l b ON b.p = lower(target_project)) "
     reached = G.oracle_sql()["impact_nodes"].rpartition("SELECT * FROM z")[0]
-    health = Q.oracle_sql()["health_summary"]
+    health, whole = Q.oracle_sql()["health_summary"], Q.oracle_sql()["health_summary_all"]
     return {
         "call_resolution": n + ", c AS (SELECT project, qualified_name AS q, ['small ring', 'large bolt', 'order_' || (id - 10000000)][id % 3 + 1] AS callee, CASE WHEN id % 2 = 0 THEN 'none' WHEN id % 5 = 0 THEN 'unknown' ELSE 'resolved' END AS kind, 'Cat.Brand#' || id % 25 AS receiver FROM g_nodes WHERE label = 'Class'), t AS (SELECT DISTINCT project, name, qualified_name AS tq FROM g_nodes WHERE label IN ('Method', 'Function')), j AS (SELECT DISTINCT c.project, c.q, callee, kind, receiver, tq FROM c JOIN t ON t.project = c.project AND t.name = callee WHERE kind = 'none' OR kind = 'resolved' AND tq = receiver || '.' || string_split(tq, '.')[-1]), k AS (SELECT *, count(*) OVER (PARTITION BY project, q, callee, kind, receiver) AS n FROM j) SELECT DISTINCT project, q AS source_qn, tq AS target_qn, 'CALLS' AS type FROM k WHERE n = 1",
         "import_resolution": n + "SELECT DISTINCT project, file_path AS source_qn, qualified_name AS target_qn, 'IMPORTS' AS type FROM g_nodes WHERE label = 'Class' AND id % 2 = 0",
@@ -79,5 +84,6 @@ def oracle_sql() -> dict[str, str]:
         "cluster_members": rx + "SELECT c AS community, p AS project, (SELECT count(*) FROM e WHERE cs = ct AND (s = p)) + (SELECT count(*) FROM e WHERE cs = ct AND t = p) AS internal, (SELECT count(*) FROM e WHERE cs <> ct AND s = p) + (SELECT count(*) FROM e WHERE cs <> ct AND t = p) AS external FROM l",
         "cluster_connections": rx + "SELECT community, other, count(*) AS edges, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM (SELECT cs AS community, ct AS other, type FROM e WHERE cs <> ct UNION ALL SELECT ct, cs, type FROM e WHERE cs <> ct) GROUP BY 1, 2",
         "fleet_health": f"SELECT count(*) AS repositories, round_even(avg(health), 1) AS average, CAST(sum(hotspots) AS BIGINT) AS hotspots, CAST(sum(alerts) AS BIGINT) AS alerts, count(*) FILTER (WHERE health < 4.0) AS below_4, count(*) FILTER (WHERE health < 2.5) AS below_2_5 FROM ({health})",
+        "fleet_health_all": f"SELECT count(*) AS repositories, round_even(avg(health), 1) AS average, CAST(sum(hotspots) AS BIGINT) AS hotspots, CAST(sum(alerts) AS BIGINT) AS alerts, count(*) FILTER (WHERE health < 4.0) AS below_4, count(*) FILTER (WHERE health < 2.5) AS below_2_5 FROM ({whole})",
         "impact_rollup": reached + ", d AS (SELECT source_project, target_project, type AS edge_type, count(*) AS n FROM g_cross WHERE source_node_id IN (SELECT id FROM st) OR target_node_id IN (SELECT id FROM st) GROUP BY 1, 2, 3 UNION ALL SELECT (SELECT min(project) FROM st), project, 'TRANSITIVE', count(*) FROM z WHERE project NOT IN (SELECT project FROM st) GROUP BY 2) SELECT source_project, target_project, min(edge_type) AS edge_type, CAST(sum(n) AS BIGINT) AS nodes FROM d GROUP BY 1, 2",
     }

@@ -35,6 +35,16 @@ def test_touches_shares_and_truck_factor(spark):
     assert H.file_metrics(c.limit(0), t.limit(0), AS_OF).count() == 0
 
 
+def test_every_path_of_a_busy_day_pairs_up(spark):
+    c = spark.createDataFrame([(1, "Ann", datetime(2024, 6, 1), "x"), (2, "Ann", datetime(2024, 6, 2), "x")], "commit_id long, author string, author_date timestamp, message string")
+    t = spark.createDataFrame([(1, f"p{i:02}.cs", 1, 0, i) for i in range(70)] + [(2, "p68.cs", 1, 0, 1), (2, "p69.cs", 1, 0, 2)], "commit_id long, path string, added long, removed long, seq int")
+    st = H.source_touches(c, t)
+    got = {(r["a"], r["b"]): r["days"] for r in H.cochange_pairs(st, AS_OF).collect()}
+    assert len(got) == 70 * 69 // 2 and all(a < b for a, b in got) and {k for k, n in got.items() if n > 1} == {("p68.cs", "p69.cs")} and got["p68.cs", "p69.cs"] == 2
+    assert {r["partners"] for r in H.file_metrics(c, t, AS_OF).collect()} == {69}
+    assert H.cochange_pairs(st, AS_OF, cap=50).count() == 50 * 49 // 2 + 1  # and the pair of the other day
+
+
 def test_intervals():
     day = lambda n: datetime(2024, 1, 1) + (datetime(2024, 1, 2) - datetime(2024, 1, 1)) * n
     assert [R.interval(day(0), day(n)) for n in (45, 46, 180, 181)] == ["day", "week", "week", "month"]
