@@ -2,6 +2,7 @@ from strataweave.operators import community as C
 from strataweave.operators import impact as I
 from strataweave.operators import store as S
 from strataweave.operators import traverse as T
+from strataweave.queries import graph
 
 EDGES = "source_id long, target_id long, type string, confidence double"
 NODES = "id long, project string, dotnet_project string, label string, name string, qualified_name string, file_path string, start_line int, end_line int"
@@ -70,3 +71,12 @@ def test_store_searches(spark):
     assert {r["name"] for r in S.without_cross_edges(repos, cross).collect()} == {"Core-Api", "other"}
     assert S.page(repos, ["name"], 0, 1000).count() == 3 and S.page(repos, ["name"], 2, 2).count() == 1
     assert [r[0] for r in repos.limit(1).select(S.severity_rank(S.F.lit("HIGH"))).collect()] == [1]
+
+
+def test_graph_queries_take_every_cross_edge(spark, monkeypatch):
+    cross = spark.createDataFrame([("A", "b", 1, 2, "HTTP_CALLS"), ("b", "c", 3, 4, "REFERENCES_PACKAGE")], CROSS)
+    repos = spark.createDataFrame([(x, "g") for x in ("A", "b", "c", "d")], "name string, source_group string")
+    monkeypatch.setattr(graph, "V", lambda s, d, name: {"g_cross": cross, "g_repos": repos}[name])
+    assert {r["project"]: r["centrality"] for r in graph.betweenness(spark, "").collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
+    assert {r["project"] for r in graph.louvain_clusters(spark, "").collect()} == {"a", "b", "c"}
+    assert {r["name"] for r in graph.archival_candidates_all(spark, "").collect()} == {"c", "d"}
