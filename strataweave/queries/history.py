@@ -69,6 +69,14 @@ def inactive_streak(s: SparkSession, d: str) -> DataFrame:
     return H.vitality(H.monthly_points(_st(s, d).where("commit_id % 397 = 0"), AS_OF)).select("max_inactive_streak", "dormant_months")
 
 
+def activity_status_all(s: SparkSession, d: str) -> DataFrame:
+    return H.vitality(H.monthly_points(_st(s, d), AS_OF))
+
+
+def inactive_streak_all(s: SparkSession, d: str) -> DataFrame:
+    return activity_status_all(s, d).select("max_inactive_streak", "dormant_months")
+
+
 def firefighting(s: SparkSession, d: str) -> DataFrame:
     return H.rates(_st(s, d), AS_OF)
 
@@ -150,7 +158,7 @@ def event_normalise(s: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     churn_90d, weighted_churn, cochange_pairs, coupling, truck_factor, monthly_points, activity_status, inactive_streak, firefighting, history_maturity, file_health, file_concern, hotspots, health_summary, report_usage_series,
     report_weeks, report_breakdown, report_breakdown_series, report_facets, event_dedupe, event_normalise,
-    cochange_pairs_all, coupling_all, file_health_all, file_concern_all, hotspots_all, health_summary_all,
+    cochange_pairs_all, coupling_all, file_health_all, file_concern_all, hotspots_all, health_summary_all, activity_status_all, inactive_streak_all,
 ]
 
 
@@ -213,4 +221,6 @@ fm AS (SELECT *, round_even(CAST((greatest(risk, (10 - health) * 2) + recurring
     }
     capped = "kd AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY day ORDER BY path) <= 50)"
     every = {f"{k}_all": sql[k].replace(capped, "kd AS (SELECT * FROM dd)") for k in ("cochange_pairs", "coupling", "file_health", "file_concern", "hotspots", "health_summary")}
+    every["activity_status_all"] = sql["activity_status"].replace("WHERE author = 'author_7' AND commit_id % 11 = 0", "WHERE true")
+    every["inactive_streak_all"] = sql["inactive_streak"].replace("WHERE commit_id % 397 = 0", "WHERE true")
     return sql | every

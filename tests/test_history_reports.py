@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strataweave.operators import history as H
 from strataweave.operators import reports as R
+from strataweave.queries import history as Q
 
 AS_OF = datetime(2024, 6, 30)
 
@@ -45,6 +46,21 @@ def test_every_path_of_a_busy_day_pairs_up(spark):
     assert H.cochange_pairs(st, AS_OF, cap=50).count() == 50 * 49 // 2 + 1  # and the pair of the other day
 
 
+def test_vitality_of_a_whole_history(spark, monkeypatch):
+    """Months of the trailing year, oldest first: dormant, revived; and a query that thins no commits."""
+    month = lambda i: datetime(2023 + (i + 6) // 12, (i + 6) % 12 + 1, 1)
+    look = lambda counts: H.vitality(spark.createDataFrame([(month(i), n) for i, n in enumerate(counts)], "month timestamp, commits long")).first()
+    dormant, revived = look([4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 0, 0]), look([3, 0, 0, 0, 1, 0, 5, 5, 5, 5, 5, 5])
+    assert (dormant["status"], dormant["max_inactive_streak"], dormant["silent_now"]) == ("Dormant", 2, 2)
+    assert (revived["status"], revived["max_inactive_streak"], revived["dormant_months"]) == ("Revived", 3, 4)
+    at = [Q.AS_OF.replace(year=2000 + (i + 8) // 12, month=(i + 8) % 12 + 1) for i in range(12)]
+    c = spark.createDataFrame([(i + 1, "Ann", t, "x") for i, t in enumerate(at)], "commit_id long, author string, author_date timestamp, message string")
+    t = spark.createDataFrame([(i + 1, "a.cs", 1, 0, 1) for i in range(12)], "commit_id long, path string, added long, removed long, seq int")
+    monkeypatch.setattr(Q, "V", lambda s, d, name: {"h_commits": c, "h_touches": t}[name])
+    got = Q.activity_status_all(spark, "").first()
+    assert (got["last6"], got["prior6"], got["status"]) == (6, 6, "Stable") and Q.inactive_streak_all(spark, "").first()[:] == (0, 0)
+
+
 def test_intervals():
     day = lambda n: datetime(2024, 1, 1) + (datetime(2024, 1, 2) - datetime(2024, 1, 1)) * n
     assert [R.interval(day(0), day(n)) for n in (45, 46, 180, 181)] == ["day", "week", "week", "month"]
