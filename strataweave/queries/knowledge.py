@@ -94,6 +94,11 @@ def link_messaging(s: SparkSession, d: str) -> DataFrame:
     return L.link_messages(e, V(s, d, "g_nodes"))
 
 
+def link_messaging_all(s: SparkSession, d: str) -> DataFrame:
+    e = V(s, d, "g_edges").where("type = 'CALLS'").withColumn("type", F.when(F.col("source_id") % 2 == 0, "PUBLISHES").otherwise("CONSUMES"))
+    return L.link_messages(e, V(s, d, "g_nodes"))
+
+
 def link_packages(s: SparkSession, d: str) -> DataFrame:
     n = V(s, d, "g_nodes").where("label = 'Service'")
     refs = n.select(F.col("id").alias("source_id"), "project", F.concat(F.lit("nation_"), F.col("id") % 30, F.element_at(F.array(F.lit(".Models"), F.lit(".client"), F.lit(""), F.lit(".Other")), (F.col("id") % 4 + 1).cast("int"))).alias("package"))
@@ -271,7 +276,7 @@ def stream_usage_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    vector_topk, bm25, hybrid_search, chunk_windows, excerpts, excerpts_all, secret_scan, attack_surface, security_score, entropy, looks_secret, link_messaging, link_packages, link_routes, resolve_pending_edges, dropped_pending_edges, stub_nodes,
+    vector_topk, bm25, hybrid_search, chunk_windows, excerpts, excerpts_all, secret_scan, attack_surface, security_score, entropy, looks_secret, link_messaging, link_messaging_all, link_packages, link_routes, resolve_pending_edges, dropped_pending_edges, stub_nodes,
     longest_prefix_owner, line_in_span, structure_tree, hash_diff, snapshot_replace, file_slice_replace, repository_upsert, language_stats, dominant_language, duplicate_keys, latest_chat_run, fact_group_rebuild, fact_group_edges,
     claim_search, claim_keys, claim_ingest, memory_cleanup, entity_seeds, snake_case, summary_merge, receipt_diagnostics, exclusion_rules, stream_usage_rollup,
 ]
@@ -340,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "secret_scan": _secrets_sql(),
         "looks_secret": "WITH v AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS t, p_brand, p_size FROM part), w AS (SELECT p_partkey, t || p_brand || p_size AS a, replace(t, ' ', '') AS b FROM v) SELECT p_partkey, " + _looks_sql("a") + " AS mixed, " + _looks_sql("b") + " AS camel FROM w",
         "link_messaging": f"WITH {cte('g_nodes', 'g_edges')}, e AS (SELECT source_id, target_id FROM g_edges WHERE type = 'CALLS' AND target_id % 50 = 0) SELECT DISTINCT a.project AS source_project, b.project AS target_project, a.id AS source_id, b.id AS target_id, t.qualified_name AS event FROM e p JOIN e c ON p.target_id = c.target_id AND p.source_id % 2 = 0 AND c.source_id % 2 = 1 JOIN g_nodes a ON a.id = p.source_id JOIN g_nodes b ON b.id = c.source_id JOIN g_nodes t ON t.id = p.target_id WHERE a.project <> b.project",
+        "link_messaging_all": f"WITH {cte('g_nodes', 'g_edges')}, e AS (SELECT source_id, target_id FROM g_edges WHERE type = 'CALLS') SELECT DISTINCT a.project AS source_project, b.project AS target_project, a.id AS source_id, b.id AS target_id, t.qualified_name AS event FROM e p JOIN e c ON p.target_id = c.target_id AND p.source_id % 2 = 0 AND c.source_id % 2 = 1 JOIN g_nodes a ON a.id = p.source_id JOIN g_nodes b ON b.id = c.source_id JOIN g_nodes t ON t.id = p.target_id WHERE a.project <> b.project",
         "link_packages": f"WITH {cte('g_nodes', 'g_repos')}, r AS (SELECT id AS source_id, project, 'nation_' || id % 30 || ['.Models', '.client', '', '.Other'][id % 4 + 1] AS package FROM g_nodes WHERE label = 'Service') SELECT source_id, project, name AS target_project, package FROM r JOIN g_repos ON lower(name) = lower(regexp_replace(package, '(?i)\\.(Models|Contracts|Client|Shared)$', '')) WHERE lower(name) <> lower(project)",
         "link_routes": g + ", r AS (SELECT id AS route_id, project AS route_project, id % 40 AS k FROM g_nodes WHERE label = 'Route'), c AS (SELECT id AS call_id, project, id % 40 AS k, CASE WHEN id % 3 = 0 THEN 'nation_' || id % 25 END AS hint FROM g_nodes WHERE label = 'Service'), j AS (SELECT call_id, project, hint, route_id, route_project FROM c JOIN r USING (k) WHERE route_project <> project), n AS (SELECT call_id, count(DISTINCT route_project) AS n FROM j GROUP BY 1) SELECT DISTINCT call_id, project, route_id, route_project FROM j JOIN n USING (call_id) WHERE n = 1 OR lower(route_project) = hint",
         "resolve_pending_edges": _PT + "SELECT DISTINCT p.project, s.id AS source_id, t.id AS target_id, type FROM p JOIN n s ON s.project = p.project AND s.qualified_name = source_qn JOIN n t ON t.project = p.project AND t.qualified_name = target_qn",

@@ -9,6 +9,7 @@ from strataweave.operators import memory as M
 from strataweave.operators import retrieval as K
 from strataweave.operators import security as X
 from strataweave.operators import sqlguard as G
+from strataweave.queries import knowledge as Q
 
 
 def test_secrets_placeholders_and_false_positives(spark):
@@ -31,6 +32,13 @@ def test_excerpts_of_any_text(spark):
     assert got == {1: "wallet - zwei drei", 2: "İ" * 111 + " größe WALLET " + "x" * 233, 3: "", 4: None}
 
 
+def test_every_event_is_linked(spark, monkeypatch):
+    e = spark.createDataFrame([(2, 7, "CALLS"), (3, 7, "CALLS"), (5, 7, "CALLS"), (4, 50, "CALLS"), (3, 50, "CALLS")], "source_id long, target_id long, type string")
+    n = spark.createDataFrame([(2, "p", "a"), (3, "q", "b"), (4, "p", "c"), (5, "p", "d"), (7, "q", "seven"), (50, "q", "fifty")], "id long, project string, qualified_name string")
+    monkeypatch.setattr(Q, "V", lambda s, d, name: {"g_edges": e, "g_nodes": n}[name])
+    assert {(r["source_id"], r["target_id"], r["event"]) for r in Q.link_messaging_all(spark, "").collect()} == {(2, 3, "seven"), (4, 3, "fifty")}
+
+
 def test_entropy(spark):
     row = spark.range(1).select(X.entropy(F.lit("aabb")), X.entropy(F.lit("")), X.entropy(F.lit("äöü")), X.looks_secret(F.lit("ResetClientPassword")), X.looks_secret(F.lit("Admin@2024")), X.looks_secret(F.lit(None).cast("string"))).first()
     assert tuple(row) == (1.0, 0.0, 0.0, False, True, False)
