@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from strataweave.operators import etl as E
 from strataweave.operators import linking as L
 from strataweave.operators import memory as M
+from strataweave.operators import memory_graph as MG
 from strataweave.operators import retrieval as K
 from strataweave.operators import security as X
 from strataweave.operators import sqlguard as G
 from strataweave.queries import knowledge as Q
+from strataweave.queries import more
 
 
 def test_secrets_placeholders_and_false_positives(spark):
@@ -39,6 +41,18 @@ def test_every_event_is_linked(spark, monkeypatch):
     assert {(r["source_id"], r["target_id"], r["event"]) for r in Q.link_messaging_all(spark, "").collect()} == {(2, 3, "seven"), (4, 3, "fifty")}
 
 
+def test_memory_graph_of_every_order_and_customer(spark, monkeypatch):
+    """Customer 2 alone is an orphan: no claim about it, no edge to it, and none from it once its own is left out."""
+    o = spark.createDataFrame([(3, 4, datetime(2024, 1, 1)), (5, 1, datetime(2024, 1, 2))], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    c = spark.createDataFrame([(i,) for i in (1, 2, 4, 5)], "c_custkey long")
+    monkeypatch.setattr(more, "table", lambda s, d, name: {"orders": o, "customer": c}[name])
+    n = {r["what"]: r["n"] for r in more.memory_counts_all(spark, "").collect()}
+    assert n == {"claims active": 1, "claims conflicted": 1, "entities": 4, "edges": 4, "orphan entities": 0}
+    assert {(r["id"], r["direction"], r["other_id"]) for r in more.memory_relations_all(spark, "").collect()} == {(1, "out", 5), (2, "out", 6), (4, "out", 8), (5, "out", 9), (5, "in", 1)}
+    e, claims, x = more._memory_all(spark, "")
+    assert [r["id"] for r in MG.orphan_entities(e, claims, x.where("source_id <> 2")).collect()] == [2]
+
+
 def test_entropy(spark):
     row = spark.range(1).select(X.entropy(F.lit("aabb")), X.entropy(F.lit("")), X.entropy(F.lit("äöü")), X.looks_secret(F.lit("ResetClientPassword")), X.looks_secret(F.lit("Admin@2024")), X.looks_secret(F.lit(None).cast("string"))).first()
     assert tuple(row) == (1.0, 0.0, 0.0, False, True, False)
