@@ -92,8 +92,8 @@ def search_claims(claims: DataFrame, query: str, limit: int, vector: list[float]
     return best.select("claim_id", "recorded_at", "m.score", "m.kind").orderBy(F.desc("score"), F.desc("recorded_at"), "claim_id").limit(limit)
 
 
-def entity_seeds(entities: DataFrame, query: str, limit: int) -> DataFrame:
-    """Exact key 100, text hits 60 less their place; pruned to 80 and more where one is exact, else to 50 and more."""
+def entity_seeds(entities: DataFrame, query: str, limit: int, vector: list[float] | None = None) -> DataFrame:
+    """Exact key 100, text hits 60 less their place, with a `vector` the nearest `limit` embeddings 40 + 20 * cosine; pruned to 80 and more where one is exact, else to 50 and more."""
     words = [w for w in dict.fromkeys(query.lower().split()) if w]
     text = search_text(F.concat_ws(" ", "external_id", "label", "canonical_name", "summary"))
     hit = F.lit(True)
@@ -102,6 +102,9 @@ def entity_seeds(entities: DataFrame, query: str, limit: int) -> DataFrame:
     e = entities.select("id", "external_id", "label", hit.alias("hit"), (F.col("external_id") == lookup_key(F.lit(query))).alias("exact"))
     placed = e.where("hit and not exact").orderBy("label", "id").limit(limit).withColumn("i", F.row_number().over(W.orderBy("label", "id")) - 1)  # `limit` rows
     seeds = e.where("exact").select("id", F.lit(100).alias("score")).unionByName(placed.select("id", (60 - F.col("i")).alias("score")))
+    if vector is not None:
+        near = entities.where("embedding is not null").select("id", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])).alias("c"))
+        seeds = seeds.unionByName(near.where("c > 0").orderBy(F.desc("c"), "id").limit(limit).select("id", (40 + 20 * F.col("c")).alias("score")))
     best = seeds.groupBy("id").agg(F.max("score").alias("score"))
     top = best.agg(F.max("score")).first()[0] or 0  # one number
     return best.where(F.col("score") >= (80 if top >= 100 else 50))

@@ -87,6 +87,35 @@ def scan_surface(lines: DataFrame) -> DataFrame:
     return lines.where(~non_production(F.col("path"))).select("path", "line_number", F.explode(F.array_compact(hits)).alias("h")).select("path", "line_number", "h.title", "h.severity")
 
 
+# Patterns of a whole C# file, and of a whole file of any kind.
+CORS = r"(?s)(?:AllowAnyOrigin\s*\(|SetIsOriginAllowed\s*\(\s*[^)]*=>\s*true)"
+CALLBACK = r"(?:ServerCertificateCustomValidationCallback|RemoteCertificateValidationCallback)"
+TLS = rf"(?s)(?:{CALLBACK}\s*=\s*(?:HttpClientHandler\.)?DangerousAcceptAnyServerCertificateValidator|{CALLBACK}\s*=\s*(?:\([^)]*\)|\w+)\s*=>\s*true|{CALLBACK}[\s\S]{{0,160}}return\s+true\s*;)"
+CONTROLLER = r"(?m)^[^\n]*class [^\n]*(?:Controller|: ControllerBase)|^[^\n]*(?:Controller|: ControllerBase)[^\n]*class "
+
+
+def scan_files(files: DataFrame) -> DataFrame:
+    """(path, line_number, title, severity) of what shows only in a whole file: at most one finding of a kind, where it begins.
+
+    files: (path, content).  Open CORS weighs more where credentials are allowed; a TLS callback may return true some lines on; a controller needs [Authorize or [AllowAnonymous."""
+    text, cs = F.col("content"), F.lower("path").endswith(".cs")
+    hit = lambda ok, pattern, title, severity: F.when(ok & text.rlike(pattern), F.struct(F.regexp_instr(text, F.lit(pattern)).alias("at"), title.alias("title"), severity.alias("severity")))
+    lit, wide = F.lit, text.rlike(r"AllowCredentials\s*\(")
+    bare = (text.contains("[ApiController]") | text.contains("[Route(")) & ~text.contains("[Authorize") & ~text.contains("[AllowAnonymous")
+    hits = [
+        hit(cs, CORS, F.when(wide, "CORS allows any origin with credentials").otherwise("Permissive CORS policy"), F.when(wide, "high").otherwise("medium")), hit(cs, TLS, lit("TLS certificate validation bypass"), lit("high")),
+        hit(lit(True), SURFACE[-1][1], lit("Non-local HTTP endpoint"), lit("medium")), hit(cs & bare, CONTROLLER, lit("Controller without authorization"), lit("medium")),
+    ]
+    found = files.where(text.isNotNull() & ~non_production(F.col("path"))).select("path", "content", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    before = F.substring(text, F.lit(1), F.col("h.at") - 1)
+    return found.select("path", (F.length(before) - F.length(F.replace(before, lit("\n"), lit(""))) + 1).alias("line_number"), "h.title", "h.severity")
+
+
+def scan_surface_whole(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Risky calls by line, and the findings of whole files."""
+    return scan_surface(lines).where(F.col("title").isin(*[t for t, _, _ in SURFACE[:2]])).unionByName(scan_files(files))
+
+
 def weight(severity: Column) -> Column:
     out = F.lit(0.5)
     for name, w in WEIGHTS.items():

@@ -53,6 +53,18 @@ def test_memory_graph_of_every_order_and_customer(spark, monkeypatch):
     assert [r["id"] for r in MG.orphan_entities(e, claims, x.where("source_id <> 2")).collect()] == [2]
 
 
+def test_findings_of_whole_files(spark):
+    tls = "x();\nh.ServerCertificateCustomValidationCallback =\n (a, b, c, d) => {\n return true;\n};"
+    rows = [("a.cs", tls), ("b.cs", "p.AllowAnyOrigin()\n.AllowCredentials();"), ("c.cs", "[ApiController]\n[Route(\"x\")]\npublic class AController : ControllerBase"), ("d.cs", "[ApiController]\n[Authorize]\nclass DController"), ("tests/a.cs", tls), ("a.js", tls), ("e.cs", None)]
+    got = {(r["path"], r["line_number"], r["title"], r["severity"]) for r in X.scan_files(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got == {("a.cs", 2, "TLS certificate validation bypass", "high"), ("b.cs", 1, "CORS allows any origin with credentials", "high"), ("c.cs", 3, "Controller without authorization", "medium")}
+
+
+def test_entities_found_by_vector_only(spark):
+    e = spark.createDataFrame([(1, "x", "wallet", "w", "", [1.0, 0.0]), (2, "y", "other", "o", "", [0.8, 0.6]), (3, "z", "far", "f", "", [-1.0, 0.0]), (4, "u", "none", "n", "", None)], "id long, external_id string, label string, canonical_name string, summary string, embedding array<double>")
+    assert {r["id"]: round(r["score"], 4) for r in M.entity_seeds(e, "wallet", 5, [1.0, 0.0]).collect()} == {1: 60.0, 2: 56.0}
+
+
 def test_entropy(spark):
     row = spark.range(1).select(X.entropy(F.lit("aabb")), X.entropy(F.lit("")), X.entropy(F.lit("äöü")), X.looks_secret(F.lit("ResetClientPassword")), X.looks_secret(F.lit("Admin@2024")), X.looks_secret(F.lit(None).cast("string"))).first()
     assert tuple(row) == (1.0, 0.0, 0.0, False, True, False)
