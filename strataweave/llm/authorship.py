@@ -34,22 +34,22 @@ from strataweave.functions.text import project_key
 from strataweave.llm.syntax import language
 
 #: Files that the classifiers are trained, validated and reported on, at most about.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Paths on which places are learnt, at most about.
 PATHS = 30_000
 #: Lines that one sampled file gives to training at most, and characters of each.
-LINES, LINE = 32, 400
+LINES, LINE = 24, 400
 #: Least precision of the thresholds, and recall of `doubt`, on the repositories that set them.
 PRECISION, RECALL = 0.999, 0.998
 #: Labels of a kind without which nothing is below doubt.
 FEW = 20
-#: How much further down files are in doubt (support vectors lie at -1 and 1).
-SLACK = 0.25
+#: How far above the least precise score a threshold lies, and how much further down files are in doubt (support vectors lie at -1 and 1).
+MARGIN, SLACK = 0.25, 0.5
 #: The owner of the repositories; its own notices mark no foreign file.
 OWNER = "harborline"
-TEXT_DIMS, PATH_DIMS, LINE_DIMS, GRAM = 8192, 2**14, 2**16, 5
+TEXT_DIMS, PATH_DIMS, LINE_DIMS, GRAM = 4096, 2**14, 2**16, 5
 PATH_SCALE = 0.5
-#: Least threshold: how far on the foreign side a file must lie to be taken without a check (support vectors lie at 1).
+#: Least score that is precise: no threshold lies below it.
 LEAST = 0.25
 
 # Folders and file names that tools own.
@@ -275,7 +275,8 @@ def descend(score: Callable, gradient: Callable, y: np.ndarray, dims: int, bound
 
 
 def train_dense(x: np.ndarray, y: np.ndarray, c: float = 300.0, rounds: int = 300) -> Machine:
-    return descend(lambda w: x @ w, lambda s: s @ x, y, x.shape[1], float((x * x).sum(1).max()), c, rounds)
+    """The rows are unit vectors."""
+    return descend(lambda w: x @ w, lambda s: s @ x, y, x.shape[1], 1.0, c, rounds)
 
 
 def train_sparse(at: np.ndarray, sizes: np.ndarray, scale: np.ndarray, dims: int, bound: float, y: np.ndarray, c: float = 300.0, rounds: int = 200) -> Machine:
@@ -355,13 +356,13 @@ def part_of(project: str | None) -> int:
 
 
 def threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """Half-way below the last score down to which PRECISION of the files are labelled."""
+    """MARGIN above the half-way below the last score down to which PRECISION of the files are labelled."""
     order = np.argsort(-scores, kind="stable")
     precise = np.nonzero(np.cumsum(y[order] > 0) / np.arange(1, len(order) + 1) >= PRECISION)[0]
     if not len(precise):
         return float("inf")
     ranked = np.append(scores[order], -1.0)
-    return max((float(ranked[precise[-1]]) + float(ranked[precise[-1] + 1])) / 2, LEAST)
+    return max((float(ranked[precise[-1]]) + float(ranked[precise[-1] + 1])) / 2, LEAST) + MARGIN
 
 
 def fit(rows: list[tuple[str, str, dict]], paths: list[tuple[str, str]] = (), owner: str = OWNER) -> Model | None:
@@ -386,7 +387,8 @@ def fit(rows: list[tuple[str, str, dict]], paths: list[tuple[str, str]] = (), ow
         lines[name] = train_lines(list(known) or [(b"", 0.0)], np.array([1.0 if v else -1.0 for v in known.values()] or [-1.0], dtype=np.float32))
     placed = sorted({*((rows[k][0], rows[k][1]) for k in fits), *((pr, p) for pr, p in paths if all(mixed) and part_of(pr) < 2)})
     form = np.array([1.0 if e["shape"] else -1.0 for _, _, e in rows], dtype=np.float32)
-    model = Model(lines["comments"], lines["codes"], train_dense(text[fits], y[fits]), train_dense(text[fits], form[fits]), train_paths(placed), {}, owner, {})
+    learnt = text[fits]
+    model = Model(lines["comments"], lines["codes"], train_dense(learnt, y[fits]), train_dense(learnt, form[fits]), train_paths(placed), {}, owner, {})
 
     def scores(which: np.ndarray) -> np.ndarray:
         best = lambda m, e: float(m.lines([x for x, _, _ in e], np.array([o for _, o, _ in e], dtype=np.float32)).max()) if e else -1.0
