@@ -23,11 +23,11 @@ RUST_CONTEXT = "macro_rules union".split()
 PY_RESERVED = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 PY_CONTEXT = "match case type _".split()
 SQL_WORDS = (
-    "ADD ALL ALTER AND AS ASC BEGIN BETWEEN BY CASCADE CASE CHECK COLLATE COLUMN COMMIT CONSTRAINT CREATE CROSS DATABASE DECLARE DEFAULT DELETE DESC DISTINCT DROP ELSE END EXCEPT EXISTS FOREIGN FROM FULL FUNCTION GO GRANT "
-    "GROUP HAVING IF IN INDEX INNER INSERT INTERSECT INTO IS JOIN KEY LEFT LIKE LIMIT NOT NULL OFFSET ON OR ORDER OUTER OVER PARTITION PRIMARY PROCEDURE REFERENCES RENAME REPLACE RETURNING REVOKE RIGHT ROLLBACK SCHEMA SELECT SET "
-    "TABLE TEMPORARY THEN TO TRANSACTION TRIGGER TRUNCATE UNION UNIQUE UPDATE USE USING VALUES VIEW WHEN WHERE WITH"
+    "ADD ALL ALTER AND AS ASC BEGIN BETWEEN BY CASCADE CALL CASE CHECK COLLATE COLUMN COMMIT CONSTRAINT CREATE CROSS DATABASE DECLARE DEFAULT DELETE DESC DISTINCT DROP ELSE END EXCEPT EXEC EXISTS EXPLAIN FILTER FOR FOREIGN FROM FULL FUNCTION GO GRANT "
+    "GROUP GROUPING HAVING IF IN INDEX INNER INSERT INTERSECT INTO IS JOIN KEY LEFT LIKE LIMIT MERGE NOT NULL OFFSET ON OR ORDER OUTER OVER PARTITION PRIMARY PRINT PROCEDURE REFERENCES RENAME REPLACE RETURN RETURNING REVOKE RIGHT ROLLBACK SCHEMA SELECT SET SETS "
+    "TABLE TEMPORARY THEN TO TRANSACTION TRIGGER TRUNCATE UNION UNIQUE UPDATE USE USING VALUES VIEW WHEN WHERE WHILE WITH"
 ).split()
-SQL_CONTEXT = "CASCADE COLUMN COMMIT DATABASE FUNCTION GO IF INDEX KEY OFFSET OVER PARTITION PROCEDURE RENAME REPLACE RETURNING SCHEMA TEMPORARY TRANSACTION TRIGGER TRUNCATE VIEW BEGIN END".split()
+SQL_CONTEXT = "CALL EXEC EXPLAIN FILTER GROUPING MERGE PRINT RETURN SETS WHILE CASCADE COLUMN COMMIT DATABASE FUNCTION GO IF INDEX KEY OFFSET OVER PARTITION PROCEDURE RENAME REPLACE RETURNING SCHEMA TEMPORARY TRANSACTION TRIGGER TRUNCATE VIEW BEGIN END".split()
 
 
 def words(names: list[str]) -> str:
@@ -82,7 +82,7 @@ klass: decor* class ident? tparams? heritage? '{' member* '}'
 heritage: extends postfix
 @ts heritage: extends tname_g | extends tname_g implements tname_g (',' tname_g)* | implements tname_g (',' tname_g)*
 member: ';' | decor* mod* key tparams? sig block | decor* mod* (get | set) key sig block | decor* mod* async? '*'? key sig block | decor* mod* key opt? ann? semi | decor* mod* key opt? ann? '=' aexpr semi | static block
-@ts member: decor* mod* key opt? tparams? sig semi | decor* mod* key '!' ann semi | mod* '[' ident ':' tp ']' ann semi
+@ts member: decor* mod* key opt? tparams? sig semi | decor* mod* (get | set) key sig semi | decor* mod* key '!' ann semi | mod* '[' ident ':' tp ']' ann semi
 decor: '@' postfix
 mod: static | async
 @ts mod: public | private | protected | readonly | abstract | override | declare
@@ -285,29 +285,41 @@ PYTHON = f"""
 file: (NEWLINE | stmt)*
 stmt: simple NEWLINE | compound
 simple: small (';' small)* ';'?
-small: exprs | target_l ('=' rhs) | exprs ASSIGN rhs | test ':' test ('=' rhs)? | pass | break | continue | return exprs? | raise (test (from test)?)? | global ident (',' ident)* | nonlocal ident (',' ident)* | del exprs | assert test (',' test)? | import_s | type ident tparams? '=' test
-target_l: exprs | target_l '=' exprs
-rhs: exprs | yield_e
+small: plain | (targets '=')+ rhs | one_t ASSIGN rhs | one_t ':' test ('=' rhs)? | yield_e | pass | break | continue | return plain? | raise (test (from test)?)? | global ident (',' ident)* | nonlocal ident (',' ident)* | del del_ts | assert test (',' test)? | import_s | type ident tparams? '=' test
+plain: star_x (',' star_x)* ','?
+star_x: test | '*' bor
+rhs: plain | yield_e
+targets: target (',' target)* ','?
+target: atom_t | '*' atom_t
+atom_t: one_t | '(' targets ')' | '(' ')' | '[' targets ']' | '[' ']'
+one_t: ident | post '.' ident | post '[' subs ']' | '(' one_t ')'
+del_ts: del_t (',' del_t)* ','?
+del_t: one_t | '(' del_ts ')' | '[' del_ts ']' | '(' ')' | '[' ']'
 import_s: import dotted_as (',' dotted_as)* | from ('.' | '...')* dotted import imports | from ('.' | '...')+ import imports
 imports: '*' | '(' import_as (',' import_as)* ','? ')' | import_as (',' import_as)*
 import_as: ident (as ident)?
 dotted_as: dotted (as ident)?
 dotted: ident ('.' ident)*
-compound: decos? (def_s | class_s) | if_s | while named ':' suite else_s? | async? for exprs in exprs ':' suite else_s? | try_s | async? with withs ':' suite | match exprs ':' NEWLINE INDENT case_b+ DEDENT
+compound: decos? (def_s | class_s) | if_s | while named ':' suite else_s? | async? for targets in plain ':' suite else_s? | try_s | async? with withs ':' suite | match exprs ':' NEWLINE INDENT case_b+ DEDENT
 decos: ('@' named NEWLINE)+
 def_s: async? def ident tparams? '(' params? ')' ('->' test)? ':' suite
 class_s: class ident tparams? ('(' args? ')')? ':' suite
 tparams: '[' tparam (',' tparam)* ','? ']'
-tparam: ('*' | '**')? ident (':' test)? ('=' test)?
-params: param (',' param)* ','?
-param: ident (':' test)? ('=' test)? | '*' (ident (':' test)?)? | '**' ident (':' test)? | '/'
+tparam: ident (':' test)? ('=' test)? | ('*' | '**') ident ('=' star_x)?
+params: pos_p (',' rest_p)? ','? | rest_p ','?
+pos_p: bare_p (',' full_p)? | full_p
+bare_p: name_p (',' name_p)* | name_p (',' name_p)* ',' '/' (',' name_p)*
+full_p: dflt_p (',' dflt_p)* | dflt_p (',' dflt_p)* ',' '/' (',' dflt_p)* | '/' (',' dflt_p)+
+name_p: ident (':' test)?
+dflt_p: ident (':' test)? '=' test
+rest_p: '*' ident (':' star_x)? (',' kw_p)* (',' '**' name_p)? | '*' (',' kw_p)+ (',' '**' name_p)? | '**' name_p
+kw_p: name_p | dflt_p
 if_s: if named ':' suite (elif named ':' suite)* else_s?
 else_s: else ':' suite
 try_s: try ':' suite (except_c+ else_s? (finally ':' suite)? | finally ':' suite)
-except_c: except '*'? (exprs (as ident)?)? ':' suite
+except_c: except (test (as ident)?)? ':' suite | except '*' test (as ident)? ':' suite
 withs: with_i (',' with_i)* | '(' with_i (',' with_i)* ','? ')'
-with_i: test (as star_t)?
-star_t: post | '(' exprs ')'
+with_i: test (as atom_t)?
 case_b: case pats (if named)? ':' suite
 pats: pat (',' pat)* ','?
 pat: pat_o | pat_o as ident | '*' ident
@@ -320,27 +332,38 @@ exprs: star_e (',' star_e)* ','?
 star_e: named | '*' bor
 named: test | ident ':=' test
 test: orx | orx if orx else test | lambda lparams? ':' test
-lparams: lparam (',' lparam)* ','?
-lparam: ident ('=' test)? | '*' ident? | '**' ident | '/'
-yield_e: yield | yield exprs | yield from test
+lparams: lpos (',' lrest)? ','? | lrest ','?
+lpos: lbare (',' lfull)? | lfull
+lbare: ident (',' ident)* | ident (',' ident)* ',' '/' (',' ident)*
+lfull: ldflt (',' ldflt)* | ldflt (',' ldflt)* ',' '/' (',' ldflt)* | '/' (',' ldflt)+
+ldflt: ident '=' test
+lrest: '*' ident (',' lkw)* (',' '**' ident)? | '*' (',' lkw)+ (',' '**' ident)? | '**' ident
+lkw: ident | ldflt
+yield_e: yield | yield plain | yield from test
 orx: andx | orx or andx
 andx: notx | andx and notx
 notx: cmp | not notx
 cmp: bor | cmp (CMP | '<' | '>' | in | not in | is | is not) bor
-bor: una | bor (BIN | '+' | '-' | '*' | '**' | '/' | '|' | '@') una
-una: post | ('+' | '-' | '~') una | await post
+bor: una | bor (BIN | '+' | '-' | '*' | '/' | '|' | '@') una
+una: pow | ('+' | '-' | '~') una
+pow: aw | aw '**' una
+aw: post | await post
 post: atom | post '.' ident | post '(' args? ')' | post '[' subs ']'
-args: arg (',' arg)* ','?
-arg: named | named comp | ident '=' test | '*' test | '**' test
+args: pargs ','? | pargs ',' kargs ','? | kargs ','? | named comp
+pargs: parg (',' parg)*
+parg: named | '*' test
+kargs: karg (',' karg)* (',' dargs)? | dargs
+karg: ident '=' test | '*' test
+dargs: '**' test (',' darg)*
+darg: '**' test | ident '=' test
 subs: sub (',' sub)* ','?
 sub: named | '*' bor | test? ':' test? (':' test?)?
 atom: ident | NUM | STR+ | None | True | False | '...' | '(' ')' | '(' exprs ')' | '(' yield_e ')' | '(' named comp ')' | '[' ']' | '[' exprs ']' | '[' named comp ']' | '{{' '}}' | '{{' dict_i (',' dict_i)* ','? '}}' | '{{' exprs '}}' | '{{' named comp '}}' | '{{' test ':' test comp '}}'
 dict_i: test ':' test | '**' bor
-comp: comp_f (comp_f | if notx_c)*
-comp_f: async? for exprs in orx
-notx_c: orx | ident ':=' orx
+comp: comp_f (comp_f | if comp_c)*
+comp_f: async? for targets in orx
+comp_c: orx | ident ':=' orx | lambda lparams? ':' test
 ident: ID | {words(PY_CONTEXT)}
-small: yield_e
 """.replace("'{{'", "'{'").replace("'}}'", "'}'")
 
 SQL = f"""
@@ -348,14 +371,23 @@ file: ';'* (batch)*
 batch: stmt end | stmt GO | GO
 end: ';'+
 last: stmt
-stmt: select | insert | update | delete_s | create | alter | drop | truncate | txn | grant | SET set_x | USE name | DECLARE VARN AS? tp ('=' expr)? | IF expr stmt | BEGIN (stmt end)+ END
+stmt: select | merge | explain | insert | update | delete_s | create | alter | drop | truncate | txn | grant | SET set_x | USE name | DECLARE declv (',' declv)* | IF expr stmt | IF expr stmt end? ELSE stmt | IF expr THEN (stmt end)+ (ELSE (stmt end)+)? END IF | WHILE expr stmt | block | RETURN expr? | PRINT expr | EXEC name (earg (',' earg)*)? | CALL name ('(' exprs? ')')?
+block: BEGIN (stmt end?)+ END
+earg: (VARN '=')? (expr | DEFAULT) ID?
+explain: EXPLAIN (ID | '(' xopt (',' xopt)* ')')* (select | insert | update | delete_s | merge)
+xopt: ID (ID | ON | NUM)?
+merge: with_c? MERGE INTO? name (AS? name)? USING (name | '(' select ')') (AS? name ('(' names ')')?)? ON expr mwhen+ ret?
+mwhen: WHEN NOT? ID (BY ID)? (AND expr)? THEN (UPDATE SET asg (',' asg)* | DELETE | INSERT ('(' names ')')? (VALUES row | DEFAULT VALUES) | ID ID)
+declv: VARN AS? tp ('=' expr)? | VARN AS? TABLE '(' tdef (',' tdef)* ')' | name tp (DEFAULT expr | '=' expr)?
 set_x: name ('=' | TO)? (expr | ON | ID) | VARN '=' expr | TRANSACTION ID+ | name name? ON
-select: with_c? query order_c? limit_c?
+select: with_c? query order_c? limit_c? (FOR (UPDATE | ID) (ID ID?)?)?
 with_c: WITH ID? cte (',' cte)*
 cte: name ('(' names ')')? AS '(' (select | insert | update | delete_s) ')'
 query: qterm | query (UNION | EXCEPT | INTERSECT) (ALL | DISTINCT)? qterm
-qterm: SELECT (ALL | DISTINCT)? top? sitem (',' sitem)* (INTO name)? (FROM tref (',' tref)*)? (WHERE expr)? (GROUP BY exprs)? (HAVING expr)? | '(' select ')' | VALUES row (',' row)*
-top: ID_TOP NUM
+qterm: SELECT (ALL | DISTINCT)? top? sitem (',' sitem)* (INTO name)? (FROM tref (',' tref)*)? (WHERE expr)? (GROUP BY gitem (',' gitem)*)? (HAVING expr)? | '(' select ')' | VALUES row (',' row)*
+gitem: expr | GROUPING SETS '(' gset (',' gset)* ')'
+gset: expr | '(' ')'
+top: ID_TOP (NUM | '(' expr ')')
 sitem: '*' | expr (AS? alias)? | name '.' '*'
 alias: name | STR
 tref: tprim | tref join_k? JOIN tprim (ON expr | USING '(' names ')')? | tref CROSS JOIN tprim
@@ -372,14 +404,19 @@ ret: RETURNING sitem (',' sitem)*
 update: with_c? UPDATE name (AS? name)? SET asg (',' asg)* (FROM tref (',' tref)*)? (WHERE expr)? ret?
 asg: name '=' (expr | DEFAULT) | '(' names ')' '=' row
 delete_s: with_c? DELETE FROM name (AS? name)? (USING tref (',' tref)*)? (WHERE expr)? ret?
-create: CREATE (OR REPLACE)? TEMPORARY? TABLE ifn? name '(' tdef (',' tdef)* ')' topt* | CREATE TEMPORARY? TABLE ifn? name AS select | CREATE (OR REPLACE)? TEMPORARY? VIEW ifn? name ('(' names ')')? AS select | CREATE UNIQUE? ID? INDEX ifn? name? ON name (USING name)? '(' oitem (',' oitem)* ')' (WHERE expr)?
-    | CREATE (SCHEMA | DATABASE) ifn? name topt* | CREATE (OR REPLACE)? (PROCEDURE | FUNCTION | TRIGGER) name ('(' (fparam (',' fparam)*)? ')')? (ID tp | ID)* AS? (BEGIN (stmt end)+ END | STR) (ID ID)? | CREATE ID name (ID (expr | BY expr)?)*
+create: CREATE (OR REPLACE)? TEMPORARY? TABLE ifn? name '(' tdef (',' tdef)* ')' topt* part? | CREATE TABLE ifn? name PARTITION ID name (FOR VALUES bound | DEFAULT) | CREATE TEMPORARY? TABLE ifn? name AS select | CREATE (OR REPLACE)? TEMPORARY? VIEW ifn? name ('(' names ')')? AS select | CREATE UNIQUE? ID? INDEX ID? ifn? name? ON name (USING name)? '(' oitem (',' oitem)* ')' (ID '(' names ')')? (WHERE expr)?
+    | CREATE (SCHEMA | DATABASE) ifn? name topt* | trigger | CREATE (OR (REPLACE | ALTER))? (PROCEDURE | FUNCTION) name ('(' (fparam (',' fparam)*)? ')' | fparam (',' fparam)*)? (ID tp | ID TABLE ('(' tdef (',' tdef)* ')')? | ID)* AS? (block | STR | RETURN expr | select) (ID ID)* | CREATE (OR ALTER)? PROCEDURE name ('(' (fparam (',' fparam)*)? ')' | fparam (',' fparam)*)? AS (stmt end?)+ | CREATE ID name (ID (expr | BY expr)?)*
 fparam: ID? name tp ('=' expr)? | VARN tp ('=' expr)?
+part: PARTITION BY ID ID? '(' exprs ')' (ID NUM | '(' pdef (',' pdef)* ')')?
+pdef: PARTITION name (VALUES (ID ID)? (IN '(' exprs ')' | '(' exprs ')' | ID))?
+bound: FROM '(' exprs ')' TO '(' exprs ')' | IN '(' exprs ')' | WITH '(' ID NUM ',' ID NUM ')'
+trigger: CREATE (OR REPLACE)? TRIGGER name (ID ID? | ID) tevent (OR tevent)* ON name (FROM name | ID)* (FOR ID? ID)? (WHEN '(' expr ')')? (EXEC (FUNCTION | PROCEDURE) name '(' exprs? ')' | block | stmt) | CREATE (OR ALTER)? TRIGGER name ON name (ID ID | FOR | ID) tevent (',' tevent)* AS (stmt end?)+
+tevent: INSERT | DELETE | TRUNCATE | UPDATE (ID names)?
 ifn: IF NOT EXISTS
 ife: IF EXISTS
 topt: ID '='? (expr) | DEFAULT ID '='? ID | ID
 tdef: name tp ccon* | tcon
-tp: ID ('(' targ (',' targ)* ')')? ID* ('[' ']')* | SET '(' targ (',' targ)* ')'
+tp: TRIGGER | ID ('(' targ (',' targ)* ')')? ID* ('[' ']')* | SET '(' targ (',' targ)* ')'
 targ: NUM | STR | ID
 ccon: NOT NULL | NULL | PRIMARY KEY ID? | UNIQUE KEY? | DEFAULT (una | '(' expr ')') | CHECK '(' expr ')' | refs | CONSTRAINT name | COLLATE name | ID | ON UPDATE una | ID STR | ID '(' NUM ',' NUM ')' | ID ID AS '(' expr ')' ID? | AS '(' expr ')' ID?
 refs: REFERENCES name ('(' names ')')? (ON (DELETE | UPDATE) (CASCADE | SET NULL | SET DEFAULT | ID ID?))*
@@ -400,8 +437,10 @@ add: una | add (BIN | '*') una
 una: BIN una | post
 post: atom | post CAST tp | post COLLATE name
 atom: NUM | STR | NULL | VARN | name | '(' expr (',' expr)* ')' | '(' select ')' | EXISTS '(' select ')' | func | CASE expr? (WHEN expr THEN expr)+ (ELSE expr)? END | ID STR | DEFAULT '(' name ')'
-func: (name | LEFT | RIGHT | IF | REPLACE | TRUNCATE | INSERT | DATABASE | SCHEMA) '(' (DISTINCT? farg (',' farg)* order_c?)? ')' (OVER ('(' (PARTITION BY exprs)? order_c? ')' | name))?
-farg: expr (AS tp)? (FROM expr)? | '*'
+func: (name | LEFT | RIGHT | IF | REPLACE | TRUNCATE | INSERT | DATABASE | SCHEMA) '(' (DISTINCT? farg (',' farg)* order_c?)? ')' (ID GROUP '(' order_c ')')? (FILTER '(' WHERE expr ')')? (OVER ('(' (PARTITION BY exprs)? order_c? frame? ')' | name))?
+frame: ID (fb | BETWEEN fb AND fb)
+fb: ID ID | add ID
+farg: expr (AS tp)? (FROM expr (FOR expr)?)? | '*'
 name: ident | name '.' ident
 ident: ID | ID_TOP | {words(SQL_CONTEXT)}
 """.replace("batch: stmt end | stmt GO | GO", "batch: stmt end | stmt GO | GO\nfile: ';'* batch* last")

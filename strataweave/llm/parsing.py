@@ -228,6 +228,17 @@ class Parser:
     def _semi(self) -> str:
         return self.codes.get("VSEMI", "")
 
+    def advance(self, front: Front, c: str, line_end: bool) -> Front | None:
+        """The front after token c, `line_end` if a line ended before it; None if no parse lives on."""
+        semi = self._semi
+        if semi and line_end and c == self.codes.get("INC"):
+            front = (front.next[semi] if semi in front.next else self.step(front, semi)) or front
+        to = front.next[c] if c in front.next else self.step(front, c)
+        if to is None and semi and (line_end or c == self.codes.get("}")):
+            mid = front.next[semi] if semi in front.next else self.step(front, semi)
+            to = mid and (mid.next[c] if c in mid.next else self.step(mid, c))
+        return to
+
     def error(self, stream: str, start: str, line_end: str = "\n") -> int | None:
         """Index of the first token at which no parse lives any more (len(stream): at its end); None for a sentence.
 

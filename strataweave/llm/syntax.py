@@ -4,7 +4,9 @@ Each file's token stream is parsed in full by the grammar of the language that i
 first unrecoverable error is reported.  Lexers are one regular expression per language; parsing is one table
 look-up per token (see `parsing`), which keeps the cost near that of reading the text.
 
-For Python, an exact check by the interpreter's own compiler follows the grammar's verdict.
+What no regular expression can tell is left by it as an opener (`_OPENERS`): a literal or comment that may nest is then
+read with a stack, holes in templates and interpolated strings by the same lexer and grammar, and a script's `/` begins
+a regular expression where the parser's state allows no operator.  Texts without an opener never take that slower way.
 
 Defined cases: null content and unknown extensions are no case; files without any token are valid, except .json;
 a leading byte order mark and any line ends are allowed; NUL characters are valid nowhere; repeated rows of a file_id
@@ -13,9 +15,8 @@ count once (latest scanned_at); an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-import ast
+import itertools
 import re
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,40 +42,49 @@ _OPERATORS = {
 }
 _C_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 _NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)"
-_HOLE = r"\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\}"
-_FHOLE = r"\{[^{}%s]*(?:\{[^{}%s]*\}[^{}%s]*)*\}"
-
-
-def _fstring(q: str, more: str) -> str:
-    return rf"[rRbB]?[fF][rRbB]?{q}(?:[^{q[0]}\\{{}}{more}]|\\[\s\S]|\{{\{{|\}}\}}|{_FHOLE.replace('%s', q[0] + more)}{'' if len(q) == 1 else '|' + q[0] + '(?!' + q[0] * 2 + ')'})*{q}"
-
+_D = r"\d(?:_?\d)*"
+_PY_NUMBER = rf"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{_D}(?:\.(?:{_D})?)?|\.{_D})(?:[eE][+-]?{_D})?[jJ]?)(?!\w)"
+_PY_PREFIX, _PY_F = r"(?:[rR][bB]?|[bB][rR]?|[uU])?", r"(?:[fF][rR]?|[rR][fF])"
 
 _LITERALS = {
-    "script": [
-        r"(?<=[(,=:\[!&|?{};+\n])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", r"(?<=return)[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", _C_COMMENT,
-        r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'", rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\${_HOLE})*`", _NUMBER + r"\.?n?(?![\w$])", r"#?(?:[^\W\d]|\$)(?:\w|\$)*",
-    ],
+    "script": [_C_COMMENT, r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'", r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`", _NUMBER + r"\.?n?(?![\w$])", r"#?(?:[^\W\d]|\$)(?:\w|\$)*"],
     "cs": [
-        r"#(?:region|endregion|if|else|elif|endif|pragma|nullable|define|undef|line|warning|error)\b[^\n]*", _C_COMMENT, r'\$*"""[\s\S]*?"""', r'(?:\$@|@\$|@)"(?:[^"]|"")*"',
-        r'\$"(?:[^"\\{}\n]|\\.|\{\{|\}\}|\{(?:[^{}"\n]|"(?:[^"\\\n]|\\.)*")*\})*"', r'"(?:[^"\\\n]|\\.)*"(?:u8)?', r"'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)'", _NUMBER + r"[uUlLfFdDmM]{0,2}(?!\w)", r"@?[^\W\d]\w*",
+        r"#(?:region|endregion|if|else|elif|endif|pragma|nullable|define|undef|line|warning|error)\b[^\n]*", _C_COMMENT, r'\$*"{3,}', r'(?:\$@|@\$)"', r'@"(?:[^"]|"")*"',
+        r'\$"(?:[^"\\{}\n]|\\.|\{\{|\}\})*"', r'\$"', r'"(?:[^"\\\n]|\\.)*"(?:u8)?', r"'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)'", _NUMBER + r"[uUlLfFdDmM]{0,2}(?!\w)", r"@?[^\W\d]\w*",
     ],
     "rs": [
-        _C_COMMENT, r'#!?\[(?:[^\[\]"]|"(?:[^"\\]|\\.)*"|\[[^\[\]]*\])*\]', r'b?r"[^"]*"|b?r#"[\s\S]*?"#|b?r##"[\s\S]*?"##', r'[bc]?"(?:[^"\\]|\\[\s\S])*"', r"b?'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.))'", r"'[^\W\d]\w*",
+        r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/|/\*", r'#!?\[(?:[^\[\]"]|"(?:[^"\\]|\\.)*"|\[[^\[\]]*\])*\]', r'[bc]?r"[^"]*"|[bc]?r#+"', r'[bc]?"(?:[^"\\]|\\[\s\S])*"', r"b?'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]+\}|x[0-9a-fA-F]{2}|.))'", r"'[^\W\d]\w*",
         r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iuf]\d+|[iu]size)?(?!\w)", r"(?:r#)?[^\W\d]\w*",
     ],
     "py": [
-        r"#[^\n]*", r"\\\n", r"\n[ \t\f]*", _fstring('"""', ""), _fstring("'''", ""), _fstring('"', r"\n"), _fstring("'", r"\n"),
-        r'[rRbBuU]{0,2}(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|' + r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|" + r'"(?!"")(?:[^"\\\n]|\\[\s\S])*"|' + r"'(?!'')(?:[^'\\\n]|\\[\s\S])*')",
-        _NUMBER[:-1] + r"|\d[\d_]*\.)[jJ]?(?![\w])", r"[^\W\d]\w*",
+        r"#[^\n]*", r"\\\n", r"\n[ \t\f]*", _PY_F + r"""(?:"(?!"")(?:[^"\\{}\n]|\\[^N{}]|\{\{|\}\})*"|'(?!'')(?:[^'\\{}\n]|\\[^N{}]|\{\{|\}\})*')""", _PY_F + r"""(?:\"{3}|'{3}|"|')""",
+        _PY_PREFIX + r"""(?:\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*'{3}|"(?!"")(?:[^"\\\n]|\\[\s\S])*"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')""",
+        _PY_NUMBER, r"[^\W\d]\w*",
+    ],
+    "sql": [
+        r"--[^\n]*", r"/\*[\s\S]*?\*/", r"[eE]'(?:[^'\\]|\\[\s\S]|'')*'", r"(?:[NnXxBb]|[uU]&)?'(?:[^']|'')*'", r'"(?:[^"]|"")+"', r"`[^`]+`", r"\[[^\W\d][\w .]*\]", _NUMBER + r"(?!\w)", r"\$(?:[^\W\d]\w*)?\$",
+        r"@{1,2}\w+|:[^\W\d]\w*|\$\d+|\?", r"#{0,2}[^\W\d][\w$#]*",
     ],
-    "sql": [r"--[^\n]*", r"/\*[\s\S]*?\*/", r"[NnXxEeBb]?'(?:[^']|'')*'", r'"(?:[^"]|"")+"', r"`[^`]+`", r"\[[^\W\d][\w .]*\]", _NUMBER + r"(?!\w)", r"@{1,2}\w+|:[^\W\d]\w*|\$\d+|\?", r"[^\W\d][\w$#]*"],
     "json": [r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"', r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])", r"\w+"],
 }
+_COMMENTS = {"script": ("//", "/*"), "cs": ("//", "/*", "#"), "rs": ("//", "/*"), "sql": ("--", "/*"), "py": "#", "json": "\x03"}
+# Tokens after which the text is read with a stack.
+_OPENERS = {
+    "script": {"`", "/", "/="},
+    "cs": {'$"', '$@"', '@$"', *("$" * k + '"' * n for k in range(4) for n in range(3, 9))},
+    "rs": {"/*", *(p + "r" + "#" * n + '"' for p in ("", "b", "c") for n in range(1, 256))},
+    "py": {"".join(p) + q for k in (1, 2) for p in itertools.product("fFrR", repeat=k) if "f" in "".join(p).lower() for q in ('"', "'", '"""', "\'\'\'")},
+}
+_JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![\da-fA-F]{2})|u(?![\da-fA-F]{4})|U(?!(?:000[\da-fA-F]|0010)[\da-fA-F]{4})|N(?!\{[^{}]+\}))")
+_LITERAL, _COMMENT = "\x01", "\x02"  # what a construct read with a stack stands for
 
 
 class Language:
     """Lexer and parser of one language; made once in each worker."""
 
+    hole_start = "expr"
+
     def __init__(self, kind: str, grammar: str, starts: tuple[str, ...], reserved: list[str], newline: bool):
         self.kind, self.starts = kind, starts
         self.parser = Parser(Tables(grammar, starts))
@@ -87,7 +97,7 @@ class Language:
         self.lexer = re.compile("|".join([*literals, *tail, *blank]))
         self.known = ops | {w: codes[w] for w in reserved if w in codes} | ({"\n": "\n"} if newline else {})
         if kind == "sql":
-            self.known |= {"TOP": codes["ID_TOP"], "ILIKE": codes["ID_LIKE"], "REGEXP": codes["ID_LIKE"], "RLIKE": codes["ID_LIKE"]}
+            self.known |= {"TOP": codes["ID_TOP"], "ILIKE": codes["ID_LIKE"], "EXECUTE": codes["EXEC"], "REGEXP": codes["ID_LIKE"], "RLIKE": codes["ID_LIKE"]}
         self.codes = codes
 
     def other(self, t: str, following: str = "") -> str:
@@ -95,62 +105,224 @@ class Language:
         c, codes, kind = t[0], self.codes, self.kind
         if kind == "json" and c not in '"' and not _JSON_NUMBER.fullmatch(t):
             return "\0"
+        if kind == "py" and c == "0" and len(t) > 1 and t.replace("_", "").isdigit() and t.strip("0_"):
+            return "\0"
         if c.isdigit() or (c == "." and len(t) > 1) or (kind == "json" and c == "-" and len(t) > 1):
             return codes["NUM"] if len(t) > 1 or t.isdigit() else "\0"
         if kind == "json":
             return codes["STR"] if c == '"' and len(t) > 1 else "\0"
+        if t == _LITERAL:
+            return codes["TPL" if kind == "script" else "STR"]
+        if t == _COMMENT:
+            return ""
+        if t.startswith(_COMMENTS[kind]) and len(t) > (kind in ("script", "cs", "rs", "sql")):
+            return ""
         if t[-1] in "\"'" and len(t) > 1 or t.endswith(('"u8', '"#')):
             if kind == "sql":
                 return codes["ID"] if c == '"' else codes["STR"]
             if kind == "rs" and t[-1] == "'" or kind == "cs" and c == "'":
                 return codes["CHAR"]
-            if kind == "py" and t[: t.index(t[-1])].lower().strip("rb") == "f" and not self.holes(t, _PY_HOLE, "exprs"):
-                return "\0"
-            if kind == "cs" and "$" in t[:2] and not t.startswith('$"""') and not self.holes(t, _CS_HOLE, "expr"):
-                return "\0"
+            if kind == "py":
+                prefix = t[: t.index(t[-1])].lower()
+                if "b" in prefix and not t.isascii() or "r" not in prefix and "b" not in prefix and "\\" in t and _BAD_ESCAPE.search(t):
+                    return "\0"
             return codes["STR"]
-        if t.startswith(("/*", "//")) and kind in ("script", "cs", "rs") and len(t) > 1:
-            return ""
-        if kind == "script" and c in "/ \t":
+        if kind == "script" and c == "/":
             return codes["REGEX"] if len(t) > 2 else "\0"
         if c == "`" and len(t) > 1:
-            return codes["ID"] if kind == "sql" else codes["TPL"] if self.holes(t, _JS_HOLE, "expr") else "\0"
-        if c == "#":
-            if kind in ("py", "cs"):
-                return "" if len(t) > 1 or kind == "py" else "\0"
-            if kind == "rs" and len(t) > 1:
-                return codes["IATTR" if t[1] == "!" else "ATTR"]
-            return codes["PRIV"] if kind == "script" and len(t) > 1 else "\0"
+            return codes["ID"] if kind == "sql" else codes["TPL"]
         if kind == "sql":
-            if t.startswith(("--", "/*")):
-                return ""
             if c in "@:$?":
                 return codes["VARN"]
-            if c == "[" and len(t) > 1:
+            if c in "[#" and len(t) > 1:
                 return codes["ID"]
+        if c == "#":
+            if kind == "cs":
+                return "" if len(t) > 1 else "\0"
+            if kind == "rs" and len(t) > 1:
+                return codes["IATTR" if t[1] == "!" else "ATTR"]
+            return codes["PRIV"] if kind == "script" and len(t) > 1 else "\0"
         if kind == "rs" and c == "'" and len(t) > 1:
             return codes["LIFE"]
         if c.isalpha() or c == "_" or c == "$" and kind == "script" or c == "@" and kind == "cs" and len(t) > 1:
             return codes["ID"]
         return "\0"
 
-    def holes(self, t: str, pattern: re.Pattern, start: str) -> bool:
-        """Whether the expressions inside an interpolated literal parse."""
-        body = t.replace("{{", "").replace("}}", "") if pattern is not _JS_HOLE else t
-        return all(self.check_part(m.group(1), start) for m in pattern.finditer(body))
+    def hard(self, tokens: list[str], text: str) -> bool:
+        """Whether the text needs a stack somewhere."""
+        return self.kind == "sql" and "$" in text and any(t[0] == "$" and t[-1] == "$" for t in tokens) or self.kind in _OPENERS and not self.openers.isdisjoint(tokens)
+
+    def tokens(self, text: str) -> list[str]:
+        """The tokens; a construct read with a stack is one, and what does not end is a NUL.
+
+        A script's `/` is taken for a division here; `error` asks the parser."""
+        found = self.lexer.findall(text)
+        return [t for t, _, _ in self.scan(text)] if self.hard(found, text) else found
+
+    def scan(self, text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
+        """(token, start, end), with every construct that nests read with a stack."""
+        while at < len(text):
+            for m in self.lexer.finditer(text, at):
+                t = m.group()
+                if t in self.openers and t not in ("/", "/=") or self.kind == "sql" and t[0] == "$" == t[-1]:
+                    what, at = self.construct(text, m.start(), t)
+                    yield what, m.start(), at
+                    break
+                yield t, m.start(), m.end()
+            else:
+                return
+
+    def construct(self, text: str, start: int, t: str) -> tuple[str, int]:
+        """What begins at `start` with the opener t, and where it ends; a NUL up to the end of the text if it does not."""
+        at, lost = start + len(t), ("\0", len(text))
+        if t == "/*":
+            depth = 1
+            for m in re.compile(r"/\*|\*/").finditer(text, at):
+                depth += 1 if m.group() == "/*" else -1
+                if not depth:
+                    return _COMMENT, m.end()
+            return lost
+        if self.kind in ("rs", "sql"):
+            close = '"' + "#" * t.count("#") if self.kind == "rs" else t
+            end = text.find(close, at)
+            return (_LITERAL, end + len(close)) if end >= 0 else lost
+        if self.kind == "script":
+            return self.interpolated(text, at, re.compile(r"\\[\s\S]|`|\$\{"), "`", {"${"}, "}") or lost
+        if self.kind == "cs":
+            quotes = t.lstrip("$@")
+            if len(quotes) >= 3:
+                end = text.find(quotes, at)
+                while 0 <= end and text[end + len(quotes) : end + len(quotes) + 1] == '"':
+                    end += 1
+                if end < 0:
+                    return lost
+                holes, at = t.count("$"), start + len(t)
+                opener = re.compile("[{]{%d,}" % max(1, holes))
+                while holes and (m := opener.search(text, at, end)) is not None:
+                    inner = self.hole(text, m.end(), "}" * holes)
+                    if inner is None or inner > end:
+                        return lost
+                    at = inner
+                return _LITERAL, end + len(quotes)
+            plain = r'""|"|\{\{|\{|\}\}' if "@" in t else r'\\.|\n|"|\{\{|\{|\}\}'
+            return self.interpolated(text, at, re.compile(plain), '"', {"{"}, "}") or lost
+        raw, quote = "r" in t.lower(), t.lstrip("fFrR")
+        escape = "" if raw else r"\\N\{[^{}]*\}|\\[^{}]|"
+        stop = "" if len(quote) == 3 else r"|\n"
+        end = self.interpolated(text, at, re.compile((r"\\[" + quote[0] + r"\\]|" if raw else escape) + re.escape(quote) + r"|\{\{|\{|\}\}|\}" + stop), quote, {"{"}, "}")
+        return end or lost
+
+    def interpolated(self, text: str, at: int, marks: re.Pattern, close: str, opens: set[str], shut: str) -> tuple[str, int] | None:
+        """A literal with holes up to `close`; None if it or a hole in it does not end or parse."""
+        while (m := marks.search(text, at)) is not None:
+            t, at = m.group(), m.end()
+            if t == close:
+                return _LITERAL, at
+            if t in opens:
+                inner = self.hole(text, at, shut)
+                if inner is None:
+                    return None
+                at = inner
+            elif t == "\n" or t == "}":
+                return None
+        return None
+
+    def hole(self, text: str, at: int, shut: str) -> int | None:
+        """Where the hole that begins at `at` ends, behind `shut`; None if what it holds does not parse."""
+        if self.kind == "script":
+            got = self.follow(text, at, "expr", True)
+            return got if isinstance(got, int) and got > 0 else None
+        codes, depth, lambdas = [], 0, 0
+        for t, start, end in self.scan(text, at):
+            flat = depth == 0
+            if flat and (t[0] == "}" or t == ":" and not lambdas or t == "," and self.kind == "cs" or t in ("!", "=") and self.kind == "py" and re.compile(r"=?\s*(?:![rsa])?\s*[:}]").match(text, start)):
+                if not codes or self.parser.error("".join(codes), self.hole_start) is not None:
+                    return None
+                return self.format_spec(text, start, shut)
+            if t == "\0":
+                return None
+            depth += (t in ("(", "[", "{")) - (t in (")", "]", "}"))
+            if self.kind == "py":
+                lambdas += (t == "lambda") if flat else 0
+                lambdas -= t == ":" and flat
+            if t[0] != "\n":
+                c = self.known.get(t)
+                codes.append(self.other(t) if c is None else c)
+        return None
 
-    @lru_cache(maxsize=20_000)  # noqa: B019 - one object per worker and language
-    def check_part(self, text: str, start: str) -> bool:
-        return bool(text.strip()) and self.parser.error(self.stream(text.strip()), start) is None
+    def format_spec(self, text: str, at: int, shut: str) -> int | None:
+        """Behind the hole's end: alignment, conversion and format up to `shut`, with holes of its own in Python."""
+        if self.kind == "py":
+            at = re.compile(r"=?\s*(?:![rsa])?\s*").match(text, at).end()
+            if text[at : at + 1] == ":":
+                while (m := re.compile(r"[{}\n]").search(text, at)) is not None and m.group() == "{":
+                    inner = self.hole(text, m.end(), "}")
+                    if inner is None:
+                        return None
+                    at = inner
+                at = m.start() if m else len(text)
+            return at + 1 if text[at : at + 1] == "}" else None
+        end = text.find(shut, at)
+        while 0 <= end and shut == "}" and text[end + 1 : end + 2] == "}" and ":" in text[at:end] and text[at:end].endswith("\\"):
+            end = text.find(shut, end + 1)
+        return None if end < 0 or "\n" in text[at:end] else end + len(shut)
+
+    def follow(self, text: str, at: int, start: str, inside: bool) -> int | None:
+        """Parses a script token by token from `at`: -1 - k for a first error at token k, None for a sentence;
+        `inside` a hole, the place behind the brace that ends it."""
+        parser, known, codes = self.parser, self.known, self.codes
+        front, depth, k, line_end, last, semi = parser.begin(start), 0, 0, False, "", codes.get("VSEMI", "")
+        while True:
+            for m in self.lexer.finditer(text, at):
+                t = m.group()
+                self.place = m.start()
+                if inside and t == "}" and not depth:
+                    return m.end() if k and parser.ends(front) else -1 - k
+                jump = None
+                if t in ("/", "/="):
+                    r = _JS_REGEX.match(text, m.start())
+                    # A word that is an operator here and might be a name elsewhere is an operator.
+                    asks = r and last in ("await", "yield", "of") and parser.advance(front, codes["REGEX"], False)
+                    if asks or parser.advance(front, codes["BIN" if t == "/" else "ASSIGN"], False) is None:
+                        c, jump = (codes["REGEX"], r.end()) if r else ("\0", len(text))
+                    else:
+                        c = known[t]
+                elif t == "`":
+                    what, jump = self.construct(text, m.start(), t)
+                    c = "\0" if what == "\0" else codes["TPL"]
+                else:
+                    c = known.get(t)
+                    if c is None:
+                        c = self.other(t)
+                depth += (t == "{") - (t == "}")
+                if c == "\n":
+                    line_end = True
+                elif c:
+                    to = parser.advance(front, c, line_end)
+                    if to is None:
+                        return -1 - k
+                    front, line_end, k, last = to, False, k + 1, t
+                if jump is not None:
+                    at = jump
+                    break
+            else:
+                if inside:
+                    return -1 - k
+                if not k or parser.ends(front) or (mid := parser.advance(front, semi, False)) and parser.ends(mid):
+                    return None
+                return -1 - k
+
+    @property
+    def openers(self) -> set[str]:
+        return _OPENERS.get(self.kind, set())
 
     def stream(self, text: str) -> str:
         known, other = self.known, self.other
         if self.kind == "sql":
-            tokens = self.lexer.findall(text)
-            return "".join([known.get(t) or known.get(t.upper()) or other(t) for t in tokens])
+            return "".join([known.get(t) or known.get(t.upper()) or other(t) for t in self.tokens(text)])
         cache: dict[str, str] = {}
         out = []
-        for t in self.lexer.findall(text):
+        for t in self.tokens(text):
             c = known.get(t)
             if c is None:
                 c = cache.get(t)
@@ -167,90 +339,88 @@ class Language:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         if self.kind == "script" and text.startswith("#!"):
             text = text[text.find("\n") :] if "\n" in text else ""
+        self.place = None
+        if self.kind == "script" and self.hard(self.lexer.findall(text), text):
+            got = self.follow(text, 0, self.starts[0], False)
+            return None if got is None else -1 - got
         s = self.stream(text)
         if not s.strip("\n") and self.kind != "json":
             return None
         return self.parser.error(s, self.starts[0])
 
-
     def line_of(self, text: str, index: int) -> int:
-        """The line, from 1, of the token with that index; the last line at the end."""
+        """The line, from 1, of the token at which `error` last found that index; the last line at the end."""
         text = (text[1:] if text.startswith("\ufeff") else text).replace("\r\n", "\n").replace("\r", "\n")
+        if self.place is not None:
+            return text.count("\n", 0, self.place) + 1
         at = 0
-        for m in self.lexer.finditer(text):
-            t = m.group()
-            if self.known.get(t) or (self.kind == "sql" and self.known.get(t.upper())) or self.other(t):
+        for code, start in self.placed(text):
+            if code:
                 if at == index:
-                    return text.count("\n", 0, m.start()) + 1
+                    return text.count("\n", 0, start) + 1
                 at += 1
         return text.rstrip("\n").count("\n") + 1
 
+    def placed(self, text: str) -> Iterator[tuple[str, int]]:
+        """The codes of the stream and where they stand."""
+        for t, start, _ in self.scan(text):
+            yield self.known.get(t) or (self.kind == "sql" and self.known.get(t.upper())) or self.other(t), start
+
 
 class Python(Language):
+    hole_start = "exprs"
+
     def stream(self, text: str) -> str:
-        """With NEWLINE, INDENT and DEDENT as the indentation has it."""
-        codes, known = self.codes, self.known
+        return "".join([c for c, _ in self.layout((t, 0) for t in self.tokens("\n" + text))])
+
+    def placed(self, text: str) -> Iterator[tuple[str, int]]:
+        return ((c, max(0, at - 1)) for c, at in self.layout((t, at) for t, at, _ in self.scan("\n" + text)))
+
+    def layout(self, tokens: Iterator[tuple[str, int]]) -> Iterator[tuple[str, int]]:
+        """With NEWLINE, INDENT and DEDENT as the indentation has it; tabs and blanks must agree at any width of a tab."""
+        codes, known, cache = self.codes, self.known, {}
         new, indent, dedent = codes["NEWLINE"], codes["INDENT"], codes["DEDENT"]
-        out, depth, levels, width, fresh = [], 0, [0], 0, True
-        for t in self.lexer.findall("\n" + text if not text.startswith("\n") else text):
+        depth, levels, width, fresh, some, at = 0, [(0, 0)], (0, 0), True, False, 0
+        for t, at in tokens:
             if t[0] == "\n":
                 if depth == 0:
-                    width, fresh = len(t.expandtabs(8)) - 1, True
+                    blank = t[1:].rpartition("\f")[2]
+                    width, fresh = (len(blank.expandtabs(8)), len(blank)), True
                 continue
-            c = known.get(t) or self.other(t)
-            if not c or t == "\\\n":
+            if t == "\\\n":
+                continue
+            c = known.get(t)
+            if c is None:
+                c = cache.get(t)
+                if c is None:
+                    c = cache[t] = self.other(t)
+            if not c:
                 continue
             if fresh:
                 fresh = False
-                if out:
-                    out.append(new)
-                if width > levels[-1]:
+                if some:
+                    yield new, at
+                top = levels[-1]
+                if width[0] > top[0] and width[1] > top[1]:
                     levels.append(width)
-                    out.append(indent)
+                    yield indent, at
                 else:
-                    while width < levels[-1]:
+                    while width[0] < levels[-1][0] and width[1] < levels[-1][1]:
                         levels.pop()
-                        out.append(dedent)
+                        yield dedent, at
                     if width != levels[-1]:
-                        out.append("\0")
-            out.append(c)
-            depth += (t in "([{") - (t in ")]}") if len(t) == 1 else 0
-            depth = max(depth, 0)
-        if not out:
-            return ""
-        return "".join(out) + new + dedent * (len(levels) - 1)
-
-    def check_part(self, text: str, start: str) -> bool:
-        inner = "".join(known if (known := self.known.get(t)) else self.other(t) for t in self.lexer.findall(text.strip()) if t[0] != "\n")
-        return bool(inner) and self.parser.error(inner, start) is None
-
-    def error(self, text: str) -> int | None:
-        bad = super().error(text)
-        try:  # the exact check that follows
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text[1:] if text.startswith("﻿") else text)
-            return None
-        except (SyntaxError, ValueError):
-            return 0 if bad is None else bad
-        except (RecursionError, MemoryError):
-            return bad
-
-
-    def line_of(self, text: str, index: int) -> int:
-        try:
-            ast.parse(text[1:] if text.startswith("\ufeff") else text)
-        except SyntaxError as e:
-            return e.lineno or 1
-        except (ValueError, RecursionError, MemoryError):
-            pass
-        return 1
+                        yield "\0", at
+            yield c, at
+            some = True
+            if len(t) == 1:
+                depth = max(depth + (t in "([{") - (t in ")]}"), 0)
+        if some:
+            yield new, at
+            for _ in levels[1:]:
+                yield dedent, at
 
 
 _JSON_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
-_JS_HOLE = re.compile(r"\$\{((?:[^{}`]|`[^`]*`|\{[^{}]*\})*)\}")
-_CS_HOLE = re.compile(r"\{((?:\([^(){}]*\)|[^{}\":,()]|\"(?:[^\"\\]|\\.)*\"|::|,(?![ \d-]*[}:]))*)(?:[,:][^{}]*)?\}")
-_PY_HOLE = re.compile(r"\{([^{}:!]*(?:![=][^{}:!]*)*?)=?(?:![rsa])?(?::(?:[^{}]|\{[^{}]*\})*)?\}")
 
 
 @lru_cache(maxsize=8)
