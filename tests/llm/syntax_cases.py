@@ -140,10 +140,10 @@ BROKEN = {
         '`${`${1`}`',
         'let y = `${ {a: } }`',
         'x = 1 / ;',
-        'a = /x/ /y/ z',
+        'a = /x/ /y/ /',
         'f(/re/ 1)',
         '`${',
-        'class { x }',
+        'class A { x',
         '() => {',
         'x => => y',
         'let [a = 1',
