@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from strataweave.operators import hierarchy as H
 from strataweave.operators import references as R
-from strataweave.plans.cut import cut
 from strataweave.sources.tables import table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(table(spark, d, "nodes"), with_paths=False).select("id", "root_id", "depth")
+    return H.roots(table(spark, d, "nodes"))
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +27,7 @@ def p4_projects(spark: SparkSession, d: str) -> DataFrame:
     """Trees, nodes, greatest depth and nodes lost to rings, by project."""
     nodes = table(spark, d, "nodes")
     of = nodes.where("id is not null").groupBy("id").agg(F.min(R.project_key(F.col("project"))).alias("project"))
-    h = cut(H.hierarchy(nodes, with_paths=False).select("id", "depth"), "depths")
+    h = H.roots(nodes)
     return h.join(of, "id").groupBy("project").agg(F.count("*").alias("nodes"), F.count_if(F.col("depth") == 0).alias("roots"), F.max("depth").alias("max_depth"), F.count_if(F.col("depth") < 0).alias("in_rings"))
 
 
