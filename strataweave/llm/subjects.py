@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,6 +45,8 @@ PARTS = 6
 SURE = 0.4
 #: Log-odds by which it must exceed the subject's share of the labelled documents, which general sentences come near.
 LIFT = 1.0
+#: How far, in log-odds, a subject of a sentence may lie below its likeliest one: a sentence on two subjects has both.
+NEAR = 2.0
 #: In a text of more sentences than this, one sentence alone makes no subject.
 LONE = 6
 
@@ -134,12 +137,12 @@ class Model:
     shares: np.ndarray | None = None
 
     def sentence_hits(self, sents: list[list[str]]) -> np.ndarray:
-        """For each sentence and subject, whether the sentence is about it: its likeliest subject, if that is sure."""
+        """For each sentence and subject, whether its output is sure and near to the likeliest."""
         z = Batch.of(sents).hidden(self.emb) @ self.out[:-1] + self.out[-1]
         least = np.log(SURE / (1 - SURE))
         if self.shares is not None:
             least = np.maximum(least, np.log(self.shares / (1 - self.shares)) + LIFT)
-        return (z >= least) & (z == z.max(1, keepdims=True))
+        return (z >= least) & (z >= z.max(1, keepdims=True) - NEAR)
 
 
 #: Numbers of sentences are told apart up to this; beyond, the share of the sentences decides.
@@ -236,7 +239,7 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, parts:
     data = cut(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts))).select("part", "text", "s"), "labelled")
     emb, out = init(len(subjects))
     adam = Adam(emb, out)
-    name = str(id(adam)) + data.inputFiles()[0] if data.inputFiles() else ""
+    name = uuid.uuid4().hex
     grouped = data.repartition(parts, "part").groupBy("part")  # by number, so that small parts stay tasks of their own
     for _ in range(rounds):
         handle = spark.sparkContext.broadcast((emb, out))  # buckets times dimensions, whatever the data
