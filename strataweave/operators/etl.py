@@ -69,9 +69,14 @@ def delete_project(tables: dict[str, DataFrame], project: str) -> dict[str, Data
 
 
 def language_stats(files: DataFrame) -> DataFrame:
-    """files: (project, language, content). Files, lines, non-blank lines and share of the latter, by project and language."""
+    """files: ([file_id,] project, language, content). Files, lines, non-blank lines and share of the latter, by project and language.
+
+    Lines are counted where the files are read; repeated rows of a file_id count once."""
     lines = F.split(F.coalesce("content", F.lit("")), r"\r\n|\r|\n")
     f = files.select("project", "language", F.size(lines).alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("nonblank"))
+    if "file_id" in files.columns:
+        one = F.min(F.struct("project", "language", "lines", "nonblank")).alias("m")
+        f = files.select("file_id", "project", "language", F.size(lines).alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("nonblank")).groupBy("file_id").agg(one).select("m.*")
     g = f.groupBy("project", "language").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("nonblank").alias("nonblank"))
     whole = g.groupBy("project").agg(F.sum("nonblank").alias("total"))
     return g.join(whole, "project").select("project", "language", "files", "lines", "nonblank", F.coalesce(F.bround(F.try_divide("nonblank", "total"), 4), F.lit(0.0)).alias("share"))

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strataweave.plans.cut import cut
+
 # Path segments of tests, words of repairs and of emergencies, extensions of sources.
 TEST_SEGMENTS = ["test", "tests", "spec", "specs", "testing", ".tests", ".test"]
 BUG_FIX = r"(?i)\b(fix|bug|broken|defect|patch)\b"
 FIREFIGHTING = r"(?i)\b(hotfix|incident|urgent|emergency|rollback|revert)\b"
-SOURCE_EXTENSIONS = r"(?i)\.(cs|ts|tsx|js|jsx|py|go|rs|java|sql|html|css|scss)$"
+SOURCE_EXTENSIONS = r"(?i)\.(cs|ts|tsx|js|jsx|cfm|cfc|sql|vue|py|java)$"
 #: Blocks of paths by which the pairs of one day are spread over tasks.
 PAIR_BLOCKS = 8
 
@@ -173,7 +175,7 @@ def concern(h: Column, risk: Column, file_role: Column, rec: Column, fixes: Colu
 
 def file_metrics(commits: DataFrame, touches: DataFrame, as_of: datetime, cap: int | None = None) -> DataFrame:
     """Health, trust, risk, concern of every path touched within two years; no complexity or lint data; `cap` as in cochange_pairs."""
-    st = source_touches(commits, touches)
+    st = cut(source_touches(commits, touches), "touches")  # read by all the figures below
     j = st.where(age_days(as_of, F.col("author_date")) <= 730).select("path").distinct().join(churn(st, as_of), "path", "left").join(coupling(cochange_pairs(st, as_of, cap=cap), st, as_of), "path", "left").join(knowledge(st, as_of), "path", "left").join(weighted_churn(st, as_of), "path", "left")
     j = j.fillna(0, ["changes", "partners", "truck_factor"]).fillna(0.0, ["strength", "churn30d", "churn90d", "churn365d", "fixes365d"])
     zero = F.lit(0)

@@ -19,7 +19,7 @@ def reach(start: DataFrame, edges: DataFrame, cross: DataFrame, depth: int) -> D
 
     Inbound waves from all starts together, one step over the cross-repository edges of the start projects, then
     inbound waves on. Ties: the least (edge_type, source_project)."""
-    moves = steps(edges, "inbound", DEPENDENCY)
+    moves = cut(steps(edges, "inbound", DEPENDENCY), "moves")  # read by every hop
     pick = F.min(F.struct("depth", "edge_type", "source_project")).alias("m")
 
     def settle(df: DataFrame, label: str) -> DataFrame:
@@ -32,7 +32,7 @@ def reach(start: DataFrame, edges: DataFrame, cross: DataFrame, depth: int) -> D
             new = at.drop("edge_type").join(moves, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.lit(hop).alias("depth"), "edge_type", "source_project")
             new = settle(new.join(known.select("id"), "id", "left_anti"), f"{label}{hop}")
             frontier = frontier.unionByName(new)
-            known = cut(known.select("id").union(new.select("id")).distinct(), "known")
+            known = known.select("id").union(new.select("id"))  # each wave is written once and disjoint from the others
         return frontier
 
     begin = start.select("id", F.lit(0).alias("depth"), F.lit("CHANGED").alias("edge_type"), F.col("project").alias("source_project"))

@@ -12,7 +12,7 @@ ALWAYS_STUB = ["PUBLISHES", "CONSUMES", "HTTP_CALLS", "ROUTED_TO", "BOUND_TO", "
 MAYBE_STUB = ["CALLS", "INJECTS", "INHERITS", "IMPLEMENTS", "CARRIES_FIELD"]
 STUB_LABELS = {"HTTP_CALLS": "Route", "PUBLISHES": "Event", "CONSUMES": "Event", "ROUTED_TO": "Queue", "BOUND_TO": "Exchange", "REGISTERS": "Class", "INJECTS": "Interface", "INHERITS": "Class", "IMPLEMENTS": "Interface", "CALLS": "Method", "CARRIES_FIELD": "Class"}
 WHOLE_NAME = ["HTTP_CALLS", "ROUTED_TO", "BOUND_TO"]
-EXTERNAL = ("System.", "Microsoft.", "Newtonsoft.")
+EXTERNAL = ("System.", "Microsoft.", "Newtonsoft.", "MassTransit.", "Autofac.", "Serilog.", "Npgsql.", "RabbitMQ.", "Neo4j.", "Anthropic.")
 
 
 def route_key(method: Column, template: Column) -> Column:

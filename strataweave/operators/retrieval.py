@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.plans.cut import cut
+
 K1, B = 1.2, 0.75
 WORD = r"[a-z0-9][a-z0-9_\-]*"
 
@@ -49,7 +51,8 @@ def bm25(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
     if not terms:
         return chunks.select("key", F.lit(0.0).alias("score")).limit(0)
     t = chunks.select("key", tokens(F.col(text)).alias("t"))
-    counted = t.select("key", F.size("t").alias("len"), *[_frequency(w).alias(f"f{i}") for i, w in enumerate(terms)])
+    # A few numbers a row, written once: the statistics and the scores both read them.
+    counted = cut(t.select("key", F.size("t").alias("len"), *[_frequency(w).alias(f"f{i}") for i, w in enumerate(terms)]), "counted")
     stats = counted.agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"), F.count("*").alias("n"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     joined = counted.where(" or ".join(f"f{i} > 0" for i in range(len(terms))))
     score = F.lit(0.0)

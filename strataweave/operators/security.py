@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,27 @@ SECRETS = [
 # What marks a value as no secret.
 PLACEHOLDER = r"(?i)(?:changeme|todo|placeholder|xxx|your[_\-]?key|replace[_\-]?me|dummy|fake)"
 FALSE_POSITIVES = [
-    r"""(?:password|passwd|pwd|pass)\s*=\s*["']\s*["']""", r"""(?:string|String)\s+(?:password|passwd|pass|pwd)\s*=\s*["']""", r"(?:password|passwd|pwd)\s*=\s*\w+\.\w+", r"""(?:string|var|object)\s+(?:password|passwd|pass)\s*=\s*[^\s"']""",
+    r"""(?:password|passwd|pwd|pass)\s*=\s*["']\s*["']""", r"""(?:string|String)\s+(?:password|passwd|pass|pwd)\s*=\s*["']""", r"(?:password|passwd|pwd)\s*=\s*(?:\w+\.\w+|(?:this|model|request|options|config|settings|dto|entity|user|input|args|param|context|result|response|data|value|item|record|form|command|query)\.\w+)", r"""(?:string|var|object)\s+(?:password|passwd|pass)\s*=\s*[^\s"']""",
     r"(?:string|String)\s+(?:password|passwd|pass|pwd)\s*[,)]", r"(?:string|void|bool|Task|int)\s+\w+\s*\([^)]*(?:password|passwd|pass|pwd)\s*=", r"""(?:GetValue|GetSection|GetConnectionString)\s*\(\s*["'](?:password|pwd)""", r"""\[\s*["'](?:password|pwd)["']\s*\]""",
     r"(?:IsNullOrEmpty|IsNullOrWhiteSpace)\s*\(\s*(?:password|passwd|pwd)", r"(?:password|passwd|pwd)\s*(?:==|!=)\s*null", r"(?:public|private|protected|internal)\s+string\??\s+(?:Password|Passwd|Pwd)\s*\{", r"(?:password|passwd|pwd)\s*=\s*(?:null|default|string\.Empty|String\.Empty)",
     r"\[(?:Password|DataType\s*\(\s*DataType\.Password)", r"(?:Hash|Validate|Verify|Check|Reset|Change|Encode|Decode|Encrypt|Decrypt)Password",
 ]
-# Fixed values: (title, pattern, severity) of risky calls.
-SURFACE = [
-    ("SQL injection", r'(?:ExecuteAsync|QueryAsync|QueryFirstAsync|QuerySingleAsync|FromSqlRaw|SqlCommand)(?:<[^>]+>)?\s*\(\s*\$"', "high"), ("Unsafe deserialization", r"(?:BinaryFormatter|JavaScriptSerializer|TypeNameHandling\s*\.\s*(?:All|Auto|Objects|Arrays))", "high"),
-    ("Permissive CORS", r"(?:AllowAnyOrigin\s*\(|SetIsOriginAllowed\s*\(\s*[^)]*=>\s*true)", "medium"), ("TLS validation bypass", r"(?:ServerCertificateCustomValidationCallback|RemoteCertificateValidationCallback)\s*=\s*(?:(?:HttpClientHandler\.)?DangerousAcceptAnyServerCertificateValidator|(?:\([^)]*\)|\w+)\s*=>\s*true)", "high"),
-    ("Insecure HTTP endpoint", r"""(?i)["']http://(?!localhost(?=[:/"'])|127\.0\.0\.1(?=[:/"'])|0\.0\.0\.0(?=[:/"'])|host\.docker\.internal(?=[:/"'])|\[::1\])[^"'\s]+["']""", "low"),
-]
+# Risky calls in a line of C#, and what shows in a whole file.
+RISKY_LINES = [
+    ("Potential SQL injection", r'(?:ExecuteAsync|QueryAsync|QueryFirstAsync|QuerySingleAsync|FromSqlRaw|SqlCommand)(?:<[^>]+>)?\s*\(\s*\$"', "high"),
+    ("Unsafe deserialization", r"(?:BinaryFormatter|JavaScriptSerializer|TypeNameHandling\s*\.\s*(?:All|Auto|Objects|Arrays))", "high"),
+]
+CORS = r"(?s)(?:AllowAnyOrigin\s*\(|SetIsOriginAllowed\s*\(\s*[^)]*=>\s*true)"
+CREDENTIALS = r"AllowCredentials\s*\("
+TLS = (
+    r"(?s)(?:(?:ServerCertificateCustomValidationCallback|RemoteCertificateValidationCallback)\s*=\s*(?:HttpClientHandler\.)?DangerousAcceptAnyServerCertificateValidator"
+    r"|(?:ServerCertificateCustomValidationCallback|RemoteCertificateValidationCallback)\s*=\s*(?:\([^)]*\)|\w+)\s*=>\s*true"
+    r"|(?:ServerCertificateCustomValidationCallback|RemoteCertificateValidationCallback)[\s\S]{0,160}return\s+true\s*;)"
+)
+HTTP = r"""(?i)["']http://(?!localhost(?=[:/"'])|127\.0\.0\.1(?=[:/"'])|0\.0\.0\.0(?=[:/"'])|host\.docker\.internal(?=[:/"'])|\[::1\])[^"'\s]+["']"""
+CONTROLLER = r"(?m)^[^\n]*class [^\n]*(?:Controller|: ControllerBase)|^[^\n]*(?:Controller|: ControllerBase)[^\n]*class "
 # Path words of code that is not production, weights of severities, caps of categories.
-NON_PRODUCTION = ["test", "tests", "spec", "specs", "__tests__", "fixture", "fixtures", "sample", "samples", "example", "examples", "mock", "mocks"]
+NON_PRODUCTION = ["test", "tests", "spec", "specs", "__tests__", "fixture", "fixtures", "sample", "samples", "example", "examples", "mock", "mocks", "stub", "stubs", "demo", "demos", "benchmark", "benchmarks"]
 WEIGHTS = {"critical": 2.5, "high": 1.5, "medium": 0.7, "low": 0.3}
 CAPS = {"secret": 6.5, "attack_surface": 4.0, "vulnerable_package": 4.5}
 
@@ -66,8 +76,13 @@ def sensitive_config(path: Column) -> Column:
     return (name.startswith("appsettings") & name.endswith(".json")) | name.startswith(".env") | name.isin("web.config", "app.config", "environment.config", "launchsettings.json", "secrets.json") | (name.startswith("docker-compose") & name.rlike(r"\.ya?ml$"))
 
 
+def _of(rows: DataFrame) -> list[str]:
+    """What a finding keeps of its file: the path, and its project and id where the rows have them."""
+    return [c for c in ("file_id", "project", "path") if c in rows.columns]
+
+
 def scan_secrets(lines: DataFrame) -> DataFrame:
-    """(path, line_number, title, severity) of every finding; all patterns in one pass over the lines."""
+    """([file_id, project,] path, line_number, title, severity) of every finding; all patterns in one pass over the lines."""
     line = F.col("line")
     live = lines.where(~non_production(F.col("path")) & (F.trim(line) != "") & ~F.ltrim(line).startswith("//"))
     clean = ~line.rlike(PLACEHOLDER) & ~line.rlike("(?i)(?:" + "|".join(FALSE_POSITIVES) + ")")
@@ -79,58 +94,55 @@ def scan_secrets(lines: DataFrame) -> DataFrame:
         if check:
             ok = ok & (sensitive_config(F.col("path")) | looks_secret(F.regexp_extract(line, pattern, 1)))
         hits.append(F.when(ok, F.struct(F.lit(f"{name} detected").alias("title"), F.lit(severity).alias("severity"))))
-    return live.where(clean).select("path", "line_number", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line_number", "h.title", "h.severity")
+    return live.where(clean).select(*_of(lines), "line_number", F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*_of(lines), "line_number", "h.title", "h.severity")
 
 
 def scan_surface(lines: DataFrame) -> DataFrame:
-    hits = F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(t).alias("title"), F.lit(s).alias("severity"))) for t, p, s in SURFACE])
-    return lines.where(~non_production(F.col("path"))).select("path", "line_number", F.explode(F.array_compact(hits)).alias("h")).select("path", "line_number", "h.title", "h.severity")
-
-
-# Patterns of a whole C# file, and of a whole file of any kind.
-CORS = r"(?s)(?:AllowAnyOrigin\s*\(|SetIsOriginAllowed\s*\(\s*[^)]*=>\s*true)"
-CALLBACK = r"(?:ServerCertificateCustomValidationCallback|RemoteCertificateValidationCallback)"
-TLS = rf"(?s)(?:{CALLBACK}\s*=\s*(?:HttpClientHandler\.)?DangerousAcceptAnyServerCertificateValidator|{CALLBACK}\s*=\s*(?:\([^)]*\)|\w+)\s*=>\s*true|{CALLBACK}[\s\S]{{0,160}}return\s+true\s*;)"
-CONTROLLER = r"(?m)^[^\n]*class [^\n]*(?:Controller|: ControllerBase)|^[^\n]*(?:Controller|: ControllerBase)[^\n]*class "
+    """([file_id, project,] path, line_number, title, severity) of risky calls in lines of C#."""
+    hits = F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(t).alias("title"), F.lit(s).alias("severity"))) for t, p, s in RISKY_LINES])
+    code = lines.where(F.lower("path").endswith(".cs") & ~non_production(F.col("path")))
+    return code.select(*_of(lines), "line_number", F.explode(F.array_compact(hits)).alias("h")).select(*_of(lines), "line_number", "h.title", "h.severity")
 
 
 def scan_files(files: DataFrame) -> DataFrame:
-    """(path, line_number, title, severity) of what shows only in a whole file: at most one finding of a kind, where it begins.
+    """([file_id, project,] path, line_number, title, severity) of what shows only in a whole file: at most one finding of a kind, where it begins.
 
-    files: (path, content).  Open CORS weighs more where credentials are allowed; a TLS callback may return true some lines on; a controller needs [Authorize or [AllowAnonymous."""
+    files: ([file_id, project,] path, content).  Open CORS weighs more where credentials are allowed; a TLS callback may return true some lines on; a
+    controller needs [Authorize or [AllowAnonymous.  All but endpoints are looked for in C# only."""
     text, cs = F.col("content"), F.lower("path").endswith(".cs")
     hit = lambda ok, pattern, title, severity: F.when(ok & text.rlike(pattern), F.struct(F.regexp_instr(text, F.lit(pattern)).alias("at"), title.alias("title"), severity.alias("severity")))
-    lit, wide = F.lit, text.rlike(r"AllowCredentials\s*\(")
+    lit, wide = F.lit, text.rlike(CREDENTIALS)
     bare = (text.contains("[ApiController]") | text.contains("[Route(")) & ~text.contains("[Authorize") & ~text.contains("[AllowAnonymous")
     hits = [
         hit(cs, CORS, F.when(wide, "CORS allows any origin with credentials").otherwise("Permissive CORS policy"), F.when(wide, "high").otherwise("medium")), hit(cs, TLS, lit("TLS certificate validation bypass"), lit("high")),
-        hit(lit(True), SURFACE[-1][1], lit("Non-local HTTP endpoint"), lit("medium")), hit(cs & bare, CONTROLLER, lit("Controller without authorization"), lit("medium")),
+        hit(lit(True), HTTP, lit("Non-local HTTP endpoint"), lit("medium")), hit(cs & bare, CONTROLLER, lit("Controller without authorization"), lit("medium")),
     ]
-    found = files.where(text.isNotNull() & ~non_production(F.col("path"))).select("path", "content", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    found = files.where(text.isNotNull() & ~non_production(F.col("path"))).select(*_of(files), "content", F.explode(F.array_compact(F.array(*hits))).alias("h"))
     before = F.substring(text, F.lit(1), F.col("h.at") - 1)
-    return found.select("path", (F.length(before) - F.length(F.replace(before, lit("\n"), lit(""))) + 1).alias("line_number"), "h.title", "h.severity")
+    return found.select(*_of(files), (F.length(before) - F.length(F.replace(before, lit("\n"), lit(""))) + 1).alias("line_number"), "h.title", "h.severity")
 
 
-def scan_surface_whole(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Risky calls by line, and the findings of whole files."""
-    return scan_surface(lines).where(F.col("title").isin(*[t for t, _, _ in SURFACE[:2]])).unionByName(scan_files(files))
+def attack_surface(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Risky calls by line, and the findings of whole files; repeated rows of a file give each finding once."""
+    return scan_surface(lines).unionByName(scan_files(files)).distinct()
 
 
 def weight(severity: Column) -> Column:
-    out = F.lit(0.5)
+    out = F.lit(Decimal("0.5"))
     for name, w in WEIGHTS.items():
-        out = F.when(severity == name, w).otherwise(out)
-    return out
+        out = F.when(severity == name, F.lit(Decimal(str(w)))).otherwise(out)
+    return out.cast("decimal(12,2)")
 
 
 def score(findings: DataFrame, key: str = "project") -> DataFrame:
     """(key, score): 10 less the capped penalties of the categories; within a scope the worst counts full, the rest 0.6.
 
     findings: (key, category, scope, severity)."""
-    w = weight(F.col("severity"))
-    scopes = findings.groupBy(key, "category", "scope").agg((F.max(w) + 0.6 * (F.sum(w) - F.max(w))).alias("p"))
-    cap = F.lit(1e9)
+    w = weight(F.col("severity"))  # decimals: the sums are exact in any order
+    scopes = findings.groupBy(key, "category", "scope").agg((F.max(w) + F.lit(Decimal("0.6")) * (F.sum(w) - F.max(w))).cast("decimal(20,4)").alias("p"))
+    cap = F.lit(Decimal("1000000000"))
     for name, c in CAPS.items():
-        cap = F.when(F.col("category") == name, c).otherwise(cap)
-    per = scopes.groupBy(key, "category").agg(F.sum("p").alias("p")).withColumn("p", F.least("p", cap))
-    return per.groupBy(key).agg(F.bround(F.greatest(F.lit(1.0), F.least(F.lit(10.0), 10 - F.sum("p"))), 1).alias("score"))
+        cap = F.when(F.col("category") == name, F.lit(Decimal(str(c)))).otherwise(cap)
+    per = scopes.groupBy(key, "category").agg(F.sum("p").cast("decimal(20,4)").alias("p")).withColumn("p", F.least("p", cap.cast("decimal(20,4)")))
+    total = F.greatest(F.lit(1).cast("decimal(20,4)"), F.lit(10).cast("decimal(20,4)") - F.sum("p").cast("decimal(20,4)"))
+    return per.groupBy(key).agg(F.bround(total, 1).cast("double").alias("score"))

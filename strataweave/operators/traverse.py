@@ -27,7 +27,8 @@ def walk(start: DataFrame, edges: DataFrame, direction: str, depth: int, types:
     """(node_id, depth, edge_type, parent_id) from the ids of `start` (column id).
 
     A walk may come back to nodes; with `visited` each node counts at its first depth only, with all parents there."""
-    moves = steps(edges, direction, types, confidence)
+    # Edges may come from a view that aggregates its tables: each hop would do that again.
+    moves = cut(steps(edges, direction, types, confidence), "moves")
     frontier, seen, found = start.select("id").distinct(), start.select("id").distinct(), None
     for hop in range(1, depth + 1):
         rows = frontier.join(moves, F.col("id") == F.col("src")).select(F.col("dst").alias("node_id"), F.lit(hop).alias("depth"), "edge_type", F.col("src").alias("parent_id")).distinct()

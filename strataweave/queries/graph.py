@@ -63,11 +63,6 @@ def repository_groups(s: SparkSession, d: str) -> DataFrame:
 
 
 def archival_candidates(s: SparkSession, d: str) -> DataFrame:
-    http = V(s, d, "g_cross").where("type = 'HTTP_CALLS' and source_node_id % 9973 = 0")
-    return S.without_cross_edges(V(s, d, "g_repos"), http).select("name")
-
-
-def archival_candidates_all(s: SparkSession, d: str) -> DataFrame:
     return S.without_cross_edges(V(s, d, "g_repos"), V(s, d, "g_cross").where("type = 'HTTP_CALLS'")).select("name")
 
 
@@ -209,9 +204,9 @@ def betweenness(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     nodes_by_label, search_nodes, search_nodes_count, search_repositories, edges_by_source_batch, edges_touching_nodes, label_counts, dotnet_label_counts, edge_type_counts, call_fan_in, repository_groups,
-    archival_candidates, stale_repositories, classes_with_edges, child_nodes, overview_edges, project_dependencies, node_detail, unified_search, trust_ranked_search, traverse_outbound, traverse_inbound, traverse_both,
+    stale_repositories, classes_with_edges, child_nodes, overview_edges, project_dependencies, node_detail, unified_search, trust_ranked_search, traverse_outbound, traverse_inbound, traverse_both,
     traverse_min_confidence, traverse_visited, find_consumers, find_publishers, call_path, data_lineage, architecture_hotspots, impact_nodes, impact_summary, blast_radius_2hop, weighted_adjacency, modularity_by_region,
-    cluster_summary, cluster_graph, louvain_clusters, betweenness, archival_candidates_all,
+    cluster_summary, cluster_graph, louvain_clusters, betweenness, archival_candidates,
 ]
 
 
@@ -275,8 +270,7 @@ z AS (SELECT id, project, depth, edge_type, CASE WHEN k <= 0 THEN 'Critical' WHE
         "edge_type_counts": e + "SELECT type, count(*) AS n FROM g_edges GROUP BY ALL",
         "call_fan_in": e + "SELECT target_id, count(*) AS callers FROM g_edges WHERE type = 'CALLS' GROUP BY 1 HAVING count(*) >= 20",
         "repository_groups": r + "SELECT lower(source_group) AS key, min(source_group) AS source_group, count(*) AS repositories, count(*) FILTER (WHERE is_foundational) AS foundational, count(DISTINCT language) AS languages FROM g_repos GROUP BY 1",
-        "archival_candidates": rx + "SELECT name FROM g_repos WHERE NOT EXISTS (SELECT 1 FROM g_cross WHERE type = 'HTTP_CALLS' AND source_node_id % 9973 = 0 AND (source_project = name OR target_project = name))",
-        "archival_candidates_all": rx + "SELECT name FROM g_repos WHERE NOT EXISTS (SELECT 1 FROM g_cross WHERE type = 'HTTP_CALLS' AND (source_project = name OR target_project = name))",
+        "archival_candidates": rx + "SELECT name FROM g_repos WHERE NOT EXISTS (SELECT 1 FROM g_cross WHERE type = 'HTTP_CALLS' AND (source_project = name OR target_project = name))",
         "stale_repositories": r + "SELECT name, age_days FROM g_repos WHERE age_days < 12",
         "classes_with_edges": ne + "SELECT id, label FROM g_nodes WHERE label IN ('Class', 'Service') AND id IN (SELECT source_id FROM g_edges UNION SELECT target_id FROM g_edges)",
         "child_nodes": ne + "SELECT source_id AS parent_id, target_id AS child_id, name AS child_name FROM g_edges JOIN g_nodes ON id = target_id WHERE type IN ('DEFINES', 'DEFINES_METHOD')",

@@ -14,8 +14,6 @@ from strataweave.plans.bind import view as V
 from strataweave.plans.cut import cut
 
 AS_OF = datetime(2001, 8, 1)
-#: Files of one day that pair up in the queries whose SQL has that cap; those named *_all have none.
-PAIR_CAP = 50
 FROM, TO = datetime(2024, 1, 3), datetime(2024, 1, 28)
 
 
@@ -32,19 +30,10 @@ def weighted_churn(s: SparkSession, d: str) -> DataFrame:
 
 
 def cochange_pairs(s: SparkSession, d: str) -> DataFrame:
-    return H.cochange_pairs(_st(s, d), AS_OF, cap=PAIR_CAP)
-
-
-def cochange_pairs_all(s: SparkSession, d: str) -> DataFrame:
     return H.cochange_pairs(_st(s, d), AS_OF)
 
 
 def coupling(s: SparkSession, d: str) -> DataFrame:
-    st = _st(s, d)
-    return H.coupling(H.cochange_pairs(st, AS_OF, cap=PAIR_CAP), st, AS_OF)
-
-
-def coupling_all(s: SparkSession, d: str) -> DataFrame:
     st = _st(s, d)
     return H.coupling(H.cochange_pairs(st, AS_OF), st, AS_OF)
 
@@ -57,24 +46,12 @@ def monthly_points(s: SparkSession, d: str) -> DataFrame:
     return H.monthly_points(_st(s, d), AS_OF)
 
 
-def _quiet(s: SparkSession, d: str) -> DataFrame:
-    return H.monthly_points(_st(s, d).where("author = 'author_7' and commit_id % 11 = 0"), AS_OF)
-
-
 def activity_status(s: SparkSession, d: str) -> DataFrame:
-    return H.vitality(_quiet(s, d))
-
-
-def inactive_streak(s: SparkSession, d: str) -> DataFrame:
-    return H.vitality(H.monthly_points(_st(s, d).where("commit_id % 397 = 0"), AS_OF)).select("max_inactive_streak", "dormant_months")
-
-
-def activity_status_all(s: SparkSession, d: str) -> DataFrame:
     return H.vitality(H.monthly_points(_st(s, d), AS_OF))
 
 
-def inactive_streak_all(s: SparkSession, d: str) -> DataFrame:
-    return activity_status_all(s, d).select("max_inactive_streak", "dormant_months")
+def inactive_streak(s: SparkSession, d: str) -> DataFrame:
+    return activity_status(s, d).select("max_inactive_streak", "dormant_months")
 
 
 def firefighting(s: SparkSession, d: str) -> DataFrame:
@@ -86,8 +63,8 @@ def history_maturity(s: SparkSession, d: str) -> DataFrame:
     return a.select("author", "commits", H.maturity(F.col("first"), F.col("commits"), AS_OF).alias("maturity"))
 
 
-def _metrics(s: SparkSession, d: str, cap: int | None = PAIR_CAP) -> DataFrame:
-    return cut(H.file_metrics(V(s, d, "h_commits"), V(s, d, "h_touches"), AS_OF, cap), "metrics")
+def _metrics(s: SparkSession, d: str) -> DataFrame:
+    return cut(H.file_metrics(V(s, d, "h_commits"), V(s, d, "h_touches"), AS_OF), "metrics")
 
 
 def file_health(s: SparkSession, d: str) -> DataFrame:
@@ -106,22 +83,6 @@ def health_summary(s: SparkSession, d: str) -> DataFrame:
     return H.health_summary(_metrics(s, d).withColumn("brand", F.split("path", "/")[1]), "brand")
 
 
-def file_health_all(s: SparkSession, d: str) -> DataFrame:
-    return _metrics(s, d, None).select("path", "role", "health", "trust", "changes", "partners", "truck_factor")
-
-
-def file_concern_all(s: SparkSession, d: str) -> DataFrame:
-    return _metrics(s, d, None).select("path", "risk", "recurring", "concern")
-
-
-def hotspots_all(s: SparkSession, d: str) -> DataFrame:
-    return _metrics(s, d, None).orderBy(F.desc("risk"), F.desc("health"), "path").limit(25).select("path", "risk", "health")
-
-
-def health_summary_all(s: SparkSession, d: str) -> DataFrame:
-    return H.health_summary(_metrics(s, d, None).withColumn("brand", F.split("path", "/")[1]), "brand")
-
-
 def report_usage_series(s: SparkSession, d: str) -> DataFrame:
     return R.series(V(s, d, "t_tools"), FROM, TO, R.interval(FROM, TO), calls=F.count("*"), failures=F.count_if(~F.col("success")), duration_ms=F.sum("duration_ms"), users=F.countDistinct("username"), avg_ms=F.bround(F.avg("duration_ms"), 2))
 
@@ -156,9 +117,9 @@ def event_normalise(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    churn_90d, weighted_churn, cochange_pairs, coupling, truck_factor, monthly_points, activity_status, inactive_streak, firefighting, history_maturity, file_health, file_concern, hotspots, health_summary, report_usage_series,
+    churn_90d, weighted_churn, truck_factor, monthly_points, firefighting, history_maturity, report_usage_series,
     report_weeks, report_breakdown, report_breakdown_series, report_facets, event_dedupe, event_normalise,
-    cochange_pairs_all, coupling_all, file_health_all, file_concern_all, hotspots_all, health_summary_all, activity_status_all, inactive_streak_all,
+    cochange_pairs, coupling, file_health, file_concern, hotspots, health_summary, activity_status, inactive_streak,
 ]
 
 
@@ -180,7 +141,7 @@ k AS (SELECT *, sum(CAST(commits > 0 AS INT)) OVER (ORDER BY month) AS island FR
 
 def oracle_sql() -> dict[str, str]:
     st, t = _st_sql(), f"WITH {cte('t_tools')} "
-    pairs = ", dd AS (SELECT DISTINCT CAST(author_date AS DATE) AS day, path FROM st WHERE age <= 180), kd AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY day ORDER BY path) <= 50), cp AS (SELECT x.path AS a, y.path AS b, count(*) AS days FROM kd x JOIN kd y ON x.day = y.day AND x.path < y.path GROUP BY 1, 2)"
+    pairs = ", dd AS (SELECT DISTINCT CAST(author_date AS DATE) AS day, path FROM st WHERE age <= 180), cp AS (SELECT x.path AS a, y.path AS b, count(*) AS days FROM dd x JOIN dd y ON x.day = y.day AND x.path < y.path GROUP BY 1, 2)"
     coup = pairs + ", co AS (SELECT path, round(least(max(days) / (SELECT count(DISTINCT CAST(author_date AS DATE)) FROM st WHERE age <= 180 AND st.path = u.path), 1.0), 6) AS strength, count(*) AS partners FROM (SELECT a AS path, days FROM cp UNION ALL SELECT b, days FROM cp) u GROUP BY path)"
     know = ", pa AS (SELECT path, author, count(DISTINCT commit_id) AS n FROM st WHERE age <= 730 GROUP BY 1, 2), pr AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY path ORDER BY n DESC, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY n DESC, author) AS r FROM pa), kn AS (SELECT path, count(*) FILTER (WHERE before <= 0.5 * total) AS truck_factor, string_agg(author, ',' ORDER BY r) FILTER (WHERE r <= 5) AS top_authors FROM pr GROUP BY 1)"
     ch = ", ch AS (SELECT path, count(*) AS changes, CAST(sum(added) AS BIGINT) AS lines_added, CAST(sum(removed) AS BIGINT) AS lines_removed, count(DISTINCT lower(author)) AS authors, max(author_date) AS last_change FROM st WHERE age <= 90 GROUP BY 1)"
@@ -201,10 +162,10 @@ fm AS (SELECT *, round_even(CAST((greatest(risk, (10 - health) * 2) + recurring
         "coupling": st + coup + " SELECT * FROM co",
         "truck_factor": st + know + " SELECT * FROM kn",
         "monthly_points": st + _VITALITY.format("true") + "SELECT month, commits FROM v",
-        "activity_status": st + _VITALITY.format("author = 'author_7' AND commit_id % 11 = 0") + """SELECT w.*, CASE WHEN prior6 > 0 THEN round_even((last6 - prior6) / prior6 * 100, 1) WHEN last6 > 0 THEN 100.0 ELSE 0.0 END AS velocity_change,
+        "activity_status": st + _VITALITY.format("true") + """SELECT w.*, CASE WHEN prior6 > 0 THEN round_even((last6 - prior6) / prior6 * 100, 1) WHEN last6 > 0 THEN 100.0 ELSE 0.0 END AS velocity_change,
   CASE WHEN silent_now >= 3 AND last6 <= greatest(1, prior6 // 4) THEN 'PossiblyAbandoned' WHEN silent_now >= 2 THEN 'Dormant' WHEN dormant_months >= 2 AND prior6 > 0 AND last6 >= ceil(prior6 * 1.3) THEN 'Revived' WHEN prior6 > 0 AND last6 <= floor(prior6 * 0.7) THEN 'Slowing'
     WHEN CASE WHEN prior6 > 0 THEN abs((last6 - prior6) / prior6 * 100) ELSE 0 END <= 20 THEN 'Stable' ELSE 'Active' END AS status FROM w""",
-        "inactive_streak": st + _VITALITY.format("commit_id % 397 = 0") + "SELECT max_inactive_streak, dormant_months FROM w",
+        "inactive_streak": st + _VITALITY.format("true") + "SELECT max_inactive_streak, dormant_months FROM w",
         "firefighting": st + f", cc AS (SELECT DISTINCT commit_id, message, age FROM st WHERE age <= 365), q AS (SELECT coalesce(round_even(count(*) FILTER (WHERE age <= 90 AND {fire}) / nullif(count(*) FILTER (WHERE age <= 90), 0), 3), 0) AS fire90d, round_even(count(*) FILTER (WHERE {fire}) / count(*), 3) AS fire365d, round_even(count(*) FILTER (WHERE {fix}) / count(*), 3) AS fix365d, count(*) AS commits365d FROM cc) SELECT *, CASE WHEN fire365d < 0.1 THEN 'Low' WHEN fire365d < 0.25 THEN 'Moderate' WHEN fire365d < 0.4 THEN 'High' ELSE 'Critical' END AS status FROM q",
         "history_maturity": f"WITH {cte('h_commits')}, a AS (SELECT author, (epoch(TIMESTAMP '2001-08-01') - epoch(min(author_date))) / 86400 AS age, count(*) AS commits FROM h_commits GROUP BY 1) SELECT author, commits, CASE WHEN age < 180 OR commits < 100 THEN 'Young' WHEN age < 365 OR commits < 300 THEN 'Growing' ELSE 'Mature' END AS maturity FROM a",
         "file_health": fm + "SELECT path, role, health, trust, changes, partners, truck_factor FROM fm",
@@ -219,8 +180,4 @@ fm AS (SELECT *, round_even(CAST((greatest(risk, (10 - health) * 2) + recurring
         "event_dedupe": t + "SELECT event_id, username, created_at FROM t_tools",
         "event_normalise": t + ", r AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'system' ELSE lower(username) END AS username, greatest(duration_ms - 30, 0) AS input_tokens, event_id % 50 AS output_tokens FROM t_tools) SELECT event_id, username, input_tokens, output_tokens, CASE WHEN event_id % 2 = 0 THEN 7 ELSE input_tokens + output_tokens END AS total_tokens FROM r",
     }
-    capped = "kd AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY day ORDER BY path) <= 50)"
-    every = {f"{k}_all": sql[k].replace(capped, "kd AS (SELECT * FROM dd)") for k in ("cochange_pairs", "coupling", "file_health", "file_concern", "hotspots", "health_summary")}
-    every["activity_status_all"] = sql["activity_status"].replace("WHERE author = 'author_7' AND commit_id % 11 = 0", "WHERE true")
-    every["inactive_streak_all"] = sql["inactive_streak"].replace("WHERE commit_id % 397 = 0", "WHERE true")
-    return sql | every
+    return sql

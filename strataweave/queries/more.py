@@ -68,11 +68,11 @@ def markdown_sections(s: SparkSession, d: str) -> DataFrame:
 
 
 def _memory(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o = table(s, d, "orders")
-    claims = o.select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 1).alias("object_id"), F.when(F.col("o_orderkey") % 5 == 0, "conflicted").otherwise("active").alias("status"), F.col("o_orderdate").cast("timestamp").alias("recorded_at")).where("o_custkey % 4 <> 0")
+    """Claims of all orders, all customers, an edge from each customer."""
+    o, key = table(s, d, "orders"), F.col("o_orderkey")
+    claims = o.select(key.alias("claim_id"), F.col("o_custkey").alias("subject_id"), F.when(key % 3 == 0, F.col("o_custkey") + 1).alias("object_id"), F.when(key % 5 == 0, "conflicted").otherwise("active").alias("status"), F.col("o_orderdate").cast("timestamp").alias("recorded_at"))
     entities = table(s, d, "customer").select(F.col("c_custkey").alias("id"))
-    edges = entities.where("id % 50 = 0").select(F.col("id").alias("source_id"), (F.col("id") + 4).alias("target_id"), F.lit("near").alias("type"))
-    return entities, claims, edges
+    return entities, claims, entities.select(F.col("id").alias("source_id"), (F.col("id") + 4).alias("target_id"), F.lit("near").alias("type"))
 
 
 def memory_counts(s: SparkSession, d: str) -> DataFrame:
@@ -86,28 +86,6 @@ def memory_subgraph(s: SparkSession, d: str) -> DataFrame:
 
 def memory_relations(s: SparkSession, d: str) -> DataFrame:
     e, _, x = _memory(s, d)
-    return MG.relations(x, e.where("id % 54 = 0 or id < 60"))
-
-
-def _memory_all(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Claims of all orders, all customers, an edge from each customer."""
-    o, key = table(s, d, "orders"), F.col("o_orderkey")
-    claims = o.select(key.alias("claim_id"), F.col("o_custkey").alias("subject_id"), F.when(key % 3 == 0, F.col("o_custkey") + 1).alias("object_id"), F.when(key % 5 == 0, "conflicted").otherwise("active").alias("status"), F.col("o_orderdate").cast("timestamp").alias("recorded_at"))
-    entities = table(s, d, "customer").select(F.col("c_custkey").alias("id"))
-    return entities, claims, entities.select(F.col("id").alias("source_id"), (F.col("id") + 4).alias("target_id"), F.lit("near").alias("type"))
-
-
-def memory_counts_all(s: SparkSession, d: str) -> DataFrame:
-    return MG.counts(*_memory_all(s, d))
-
-
-def memory_subgraph_all(s: SparkSession, d: str) -> DataFrame:
-    e, c, _ = _memory_all(s, d)
-    return MG.subgraph(e.where("id in (1, 7, 22)"), c, 40, 60)[0]
-
-
-def memory_relations_all(s: SparkSession, d: str) -> DataFrame:
-    e, _, x = _memory_all(s, d)
     return MG.relations(x, e)
 
 
@@ -129,28 +107,26 @@ def log_search(s: SparkSession, d: str) -> DataFrame:
     return G.search_log(e, datetime(2024, 1, 5), datetime(2024, 1, 9), "ERROR", service="1").select("id", "message")
 
 
-QUERIES = [git_log_touches, file_window, wanted_files, extract_symbols, file_complexity, markdown_sections, memory_counts, memory_subgraph, memory_relations, runtime_support, inspection_targets, log_search, memory_counts_all, memory_subgraph_all, memory_relations_all]
+QUERIES = [git_log_touches, file_window, wanted_files, extract_symbols, file_complexity, markdown_sections, runtime_support, inspection_targets, log_search, memory_counts, memory_subgraph, memory_relations]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
-_MEM = """WITH c AS (SELECT o_orderkey AS claim_id, o_custkey AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 END AS o, CASE WHEN o_orderkey % 5 = 0 THEN 'conflicted' ELSE 'active' END AS status, o_orderdate AS t FROM orders WHERE o_custkey % 4 <> 0), x AS (SELECT c_custkey AS a, c_custkey + 4 AS b FROM customer WHERE c_custkey % 50 = 0) """
+_MEM = """WITH c AS (SELECT o_orderkey AS claim_id, o_custkey AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 END AS o, CASE WHEN o_orderkey % 5 = 0 THEN 'conflicted' ELSE 'active' END AS status, o_orderdate AS t FROM orders), x AS (SELECT c_custkey AS a, c_custkey + 4 AS b FROM customer) """
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {
         "git_log_touches": f"WITH {cte('h_commits', 'h_touches')} SELECT author, message, count(*) AS touches, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, max(author_date) AS last FROM h_touches JOIN h_commits USING (commit_id) GROUP BY 1, 2",
         "file_window": "WITH f AS (SELECT DISTINCT ON (file_id) 'f/' || file_id AS path, content FROM source_files WHERE content IS NOT NULL AND file_path NOT LIKE '%..%'), m AS (SELECT unnest(regexp_split_to_array(content, '\\r\\n|\\n')) AS t, generate_subscripts(regexp_split_to_array(content, '\\r\\n|\\n'), 1) AS line FROM f WHERE path = (SELECT min(path) FROM f)) SELECT CAST(line AS INT) AS line, md5(t) AS digest FROM m WHERE line BETWEEN -2 AND 12",
-        "wanted_files": "WITH f AS (SELECT DISTINCT file_id, lower(replace(file_path, '\\', '/')) AS p FROM source_files WHERE file_path IS NOT NULL) SELECT CASE regexp_extract(p, '\\.(\\w+)$', 1) WHEN 'cs' THEN 'csharp' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' ELSE regexp_extract(p, '\\.(\\w+)$', 1) END AS language, count(*) AS files FROM f WHERE NOT list_has_any(string_split(p, '/'), ['node_modules', '.git', 'bin', 'obj', 'dist', 'packages', '.vs', 'coverage']) GROUP BY 1",
+        "wanted_files": "WITH f AS (SELECT DISTINCT file_id, lower(replace(file_path, '\\', '/')) AS p FROM source_files WHERE file_path IS NOT NULL) SELECT CASE regexp_extract(p, '\\.(\\w+)$', 1) WHEN 'cs' THEN 'csharp' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' ELSE regexp_extract(p, '\\.(\\w+)$', 1) END AS language, count(*) AS files FROM f WHERE NOT regexp_matches(p, '(^|/)(bin|obj|node_modules|build|managed_components|\\.cache|wwwroot/lib|\\.git|packages|testresults)/') AND NOT p LIKE '%.min.js' GROUP BY 1",
         "memory_counts": _MEM + "SELECT 'claims ' || status AS what, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'entities', count(*) FROM customer UNION ALL SELECT 'edges', count(*) FROM x UNION ALL SELECT 'orphan entities', count(*) FROM customer WHERE c_custkey NOT IN (SELECT s FROM c UNION SELECT o FROM c WHERE o IS NOT NULL UNION SELECT a FROM x UNION SELECT b FROM x)",
         "memory_subgraph": _MEM + ", k AS (SELECT DISTINCT claim_id, s, o, t FROM c WHERE s IN (1, 7, 22) OR o IN (1, 7, 22) ORDER BY t DESC, claim_id LIMIT 60), e AS (SELECT s AS id FROM k UNION SELECT o FROM k WHERE o IS NOT NULL) SELECT id, CAST(max(score) AS INT) AS score FROM (SELECT c_custkey AS id, 100 AS score FROM customer WHERE c_custkey IN (1, 7, 22) UNION ALL SELECT id, 50 FROM e) GROUP BY 1 ORDER BY score DESC, id LIMIT 40",
-        "memory_relations": _MEM + ", e AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 54 = 0 OR c_custkey < 60) SELECT a AS id, 'out' AS direction, b AS other_id, 'near' AS type FROM x WHERE a IN (SELECT id FROM e) UNION ALL SELECT b, 'in', a, 'near' FROM x WHERE b IN (SELECT id FROM e)",
+        "memory_relations": _MEM + ", e AS (SELECT c_custkey AS id FROM customer) SELECT a AS id, 'out' AS direction, b AS other_id, 'near' AS type FROM x WHERE a IN (SELECT id FROM e) UNION ALL SELECT b, 'in', a, 'near' FROM x WHERE b IN (SELECT id FROM e)",
         "runtime_support": f"WITH {cte('g_repos')}, k AS (SELECT source_group AS project, CASE age_days % 4 + 5 WHEN 5 THEN true WHEN 6 THEN true WHEN 8 THEN false END AS o FROM g_repos) SELECT project, CASE WHEN count(o) = 0 THEN 'unknown' WHEN NOT bool_or(o) THEN 'supported' WHEN bool_and(o) THEN 'out_of_support' ELSE 'mixed' END AS status FROM k GROUP BY 1",
         "inspection_targets": f"WITH {cte('h_touches')}, r AS (SELECT path, count(*) * 2.0 AS score, 'changed often' AS reason FROM h_touches GROUP BY 1 UNION ALL SELECT path, max(added) / 10, 'large change' FROM h_touches GROUP BY 1) SELECT path, CAST(sum(score) AS DOUBLE) AS score, string_agg(reason, '; ' ORDER BY score DESC, reason DESC) AS reasons FROM r GROUP BY 1 ORDER BY score DESC, path LIMIT 15",
         "log_search": "SELECT event_id AS id, 'Call ' || event_type AS message FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09' AND user_id % 3 = 1 AND (contains(lower('Call ' || event_type), 'error') OR contains(lower(props), 'error'))",
     }
-    whole = _MEM.replace(" WHERE o_custkey % 4 <> 0", "").replace(" WHERE c_custkey % 50 = 0", "")
-    every = {f"{k}_all": sql[k].replace(_MEM, whole).replace(" WHERE c_custkey % 54 = 0 OR c_custkey < 60", "") for k in ("memory_counts", "memory_subgraph", "memory_relations")}
-    return sql | every
+    return sql

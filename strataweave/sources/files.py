@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that are never scanned, extensions of supported files, the size limit in bytes.
-SKIP = ["node_modules", ".git", "bin", "obj", "dist", "packages", ".vs", "coverage"]
+SKIP = ["bin", "obj", "node_modules", "build", "managed_components", ".cache", ".git", "packages", "TestResults"]
+SKIP_PATHS = r"(?i)(^|/)wwwroot/lib/|\.min\.js$"
 EXTENSIONS = ["cs", "ts", "js", "py", "sql", "rs", "go", "java", "tf", "yml", "yaml", "cfm", "json"]
 MAX_BYTES = 512 * 1024
 # Languages of extensions.
@@ -25,7 +26,8 @@ def language(path: Column) -> Column:
 def wanted(path: Column) -> Column:
     """Supported extension and no skipped folder on the way."""
     parts = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
-    return extension(path).isin(EXTENSIONS) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIP)))
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return extension(path).isin(EXTENSIONS) & ~F.arrays_overlap(folders, F.array(*[F.lit(x.lower()) for x in SKIP])) & ~F.replace(path, F.lit("\\"), F.lit("/")).rlike(SKIP_PATHS)
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,4 +79,4 @@ def test_graph_queries_take_every_cross_edge(spark, monkeypatch):
     monkeypatch.setattr(graph, "V", lambda s, d, name: {"g_cross": cross, "g_repos": repos}[name])
     assert {r["project"]: r["centrality"] for r in graph.betweenness(spark, "").collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
     assert {r["project"] for r in graph.louvain_clusters(spark, "").collect()} == {"a", "b", "c"}
-    assert {r["name"] for r in graph.archival_candidates_all(spark, "").collect()} == {"c", "d"}
+    assert {r["name"] for r in graph.archival_candidates(spark, "").collect()} == {"c", "d"}

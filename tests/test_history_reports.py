@@ -57,8 +57,8 @@ def test_vitality_of_a_whole_history(spark, monkeypatch):
     c = spark.createDataFrame([(i + 1, "Ann", t, "x") for i, t in enumerate(at)], "commit_id long, author string, author_date timestamp, message string")
     t = spark.createDataFrame([(i + 1, "a.cs", 1, 0, 1) for i in range(12)], "commit_id long, path string, added long, removed long, seq int")
     monkeypatch.setattr(Q, "V", lambda s, d, name: {"h_commits": c, "h_touches": t}[name])
-    got = Q.activity_status_all(spark, "").first()
-    assert (got["last6"], got["prior6"], got["status"]) == (6, 6, "Stable") and Q.inactive_streak_all(spark, "").first()[:] == (0, 0)
+    got = Q.activity_status(spark, "").first()
+    assert (got["last6"], got["prior6"], got["status"]) == (6, 6, "Stable") and Q.inactive_streak(spark, "").first()[:] == (0, 0)
 
 
 def test_intervals():

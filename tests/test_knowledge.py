@@ -38,7 +38,7 @@ def test_every_event_is_linked(spark, monkeypatch):
     e = spark.createDataFrame([(2, 7, "CALLS"), (3, 7, "CALLS"), (5, 7, "CALLS"), (4, 50, "CALLS"), (3, 50, "CALLS")], "source_id long, target_id long, type string")
     n = spark.createDataFrame([(2, "p", "a"), (3, "q", "b"), (4, "p", "c"), (5, "p", "d"), (7, "q", "seven"), (50, "q", "fifty")], "id long, project string, qualified_name string")
     monkeypatch.setattr(Q, "V", lambda s, d, name: {"g_edges": e, "g_nodes": n}[name])
-    assert {(r["source_id"], r["target_id"], r["event"]) for r in Q.link_messaging_all(spark, "").collect()} == {(2, 3, "seven"), (4, 3, "fifty")}
+    assert {(r["source_id"], r["target_id"], r["event"]) for r in Q.link_messaging(spark, "").collect()} == {(2, 3, "seven"), (4, 3, "fifty")}
 
 
 def test_memory_graph_of_every_order_and_customer(spark, monkeypatch):
@@ -46,9 +46,9 @@ def test_memory_graph_of_every_order_and_customer(spark, monkeypatch):
     o = spark.createDataFrame([(3, 4, datetime(2024, 1, 1)), (5, 1, datetime(2024, 1, 2))], "o_orderkey long, o_custkey long, o_orderdate timestamp")
     c = spark.createDataFrame([(i,) for i in (1, 2, 4, 5)], "c_custkey long")
     monkeypatch.setattr(more, "table", lambda s, d, name: {"orders": o, "customer": c}[name])
-    n = {r["what"]: r["n"] for r in more.memory_counts_all(spark, "").collect()}
+    n = {r["what"]: r["n"] for r in more.memory_counts(spark, "").collect()}
     assert n == {"claims active": 1, "claims conflicted": 1, "entities": 4, "edges": 4, "orphan entities": 0}
-    assert {(r["id"], r["direction"], r["other_id"]) for r in more.memory_relations_all(spark, "").collect()} == {(1, "out", 5), (2, "out", 6), (4, "out", 8), (5, "out", 9), (5, "in", 1)}
+    assert {(r["id"], r["direction"], r["other_id"]) for r in more.memory_relations(spark, "").collect()} == {(1, "out", 5), (2, "out", 6), (4, "out", 8), (5, "out", 9), (5, "in", 1)}
     e, claims, x = more._memory_all(spark, "")
     assert [r["id"] for r in MG.orphan_entities(e, claims, x.where("source_id <> 2")).collect()] == [2]
 
