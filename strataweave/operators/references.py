@@ -10,6 +10,10 @@ The step table has a row or two per record and is unique by (key, from); referen
 each, in a join that adaptive execution can split.  Cumulation runs over the times of one key's records only,
 after summing equal times.
 
+The current report needs no history: `key_deltas` gives the signed changes of a period per key, `advance` adds them to a kept
+state of one row per living or referred key, and `current_orphans` are the keys with positive references and no existence.
+A state advanced period by period equals one made of everything at once.
+
 Defined cases: null and blank references are no case; a reference without a time finds nothing alive, and is
 `late` if the key is known; a record without created_at never lives but makes its key known; repeated rows of
 a reference's id count once (the latest received counts, then the greatest name); repeated rows of a record's id
@@ -61,15 +65,46 @@ def orphans(refs: DataFrame, steps: DataFrame) -> DataFrame:
     return joined.where("living is null or living <= 0").withColumn("reason", reason).drop("s1", "s2", "t_from", "t_to", "living", "ended")
 
 
+def key_deltas(refs: DataFrame, records: DataFrame, after: int = _START, until: int = _END) -> DataFrame:
+    """refs: (k1, k2, at), records: (k1, k2, born, gone), once each -> (k1, k2, references, existence): the signed changes with after < time <= until.
+
+    References and records without a time count from the start; times are in microseconds."""
+    lives = F.col("born").isNotNull() & (F.col("gone").isNull() | (F.col("gone") > F.col("born")))
+    delta = lambda t, n: F.struct(t.cast("long").alias("t"), n.cast("long").alias("n"))
+    made = refs.select("k1", "k2", F.coalesce("at", F.lit(_START + 1)).alias("t"), F.lit(1).cast("long").alias("references"), F.lit(0).cast("long").alias("existence"))
+    alive = records.where(lives).select("k1", "k2", F.explode(F.array(delta(F.col("born"), F.lit(1)), delta(F.col("gone"), F.lit(-1)))).alias("d")).where("d.t is not null")
+    both = made.unionByName(alive.select("k1", "k2", F.col("d.t").alias("t"), F.lit(0).cast("long").alias("references"), F.col("d.n").alias("existence")))
+    return both.where((F.col("t") > after) & (F.col("t") <= until)).groupBy("k1", "k2").agg(F.sum("references").alias("references"), F.sum("existence").alias("existence"))
+
+
+def advance(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """The state (k1, k2, references, existence) after the deltas; keys that are neither referred to nor there leave it."""
+    both = deltas if state is None else state.unionByName(deltas)
+    return both.groupBy("k1", "k2").agg(F.sum("references").alias("references"), F.sum("existence").alias("existence")).where("references <> 0 or existence <> 0")
+
+
+def current_orphans(state: DataFrame) -> DataFrame:
+    return state.where("references > 0 and existence <= 0")
+
+
 def node_steps(nodes: DataFrame) -> DataFrame:
     """Steps of (project, qualified name); the versions of a node share its life, so its id counts once."""
+    return existence_steps(node_lives(nodes))
+
+
+def node_lives(nodes: DataFrame) -> DataFrame:
+    """(k1, k2, born, gone) of every node id."""
     rows = nodes.where(F.col("qualified_name").isNotNull() & F.col("project").isNotNull()).select("id", *pair_key(project_key(F.col("project")), F.col("qualified_name")), micros(F.col("created_at")).alias("born"), micros(F.col("deleted_at")).alias("gone"))
-    return existence_steps(rows.groupBy("id", "k1", "k2").agg(F.min("born").alias("born"), F.max("gone").alias("gone")).drop("id"))
+    return rows.groupBy("id", "k1", "k2").agg(F.min("born").alias("born"), F.max("gone").alias("gone")).drop("id")
 
 
 def repository_steps(repositories: DataFrame) -> DataFrame:
+    return existence_steps(repository_lives(repositories))
+
+
+def repository_lives(repositories: DataFrame) -> DataFrame:
     rows = repositories.where(~is_blank(F.col("name"))).select(*pair_key(project_key(F.col("name"))), micros(F.col("created_at")).alias("born"), micros(F.col("deleted_at")).alias("gone"))
-    return existence_steps(rows.distinct())
+    return rows.distinct()
 
 
 def edge_references(edges: DataFrame) -> DataFrame:

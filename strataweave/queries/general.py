@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.operators import hierarchy as H
 from strataweave.operators import references as R
+from strataweave.plans.cut import Scope
 from strataweave.sources.tables import table
 
 
@@ -20,7 +23,11 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(table(spark, d, "nodes"), with_paths=False).select("id", "root_id", "head", "pos", "first", "last")
+    """Of every node the size of its interval of the numbering, and how far the interval of its parent fails to hold it (0: it holds it)."""
+    h = H.hierarchy(table(spark, d, "nodes"), with_paths=False)
+    up = h.select(F.col("id").alias("parent"), F.col("first").alias("a"), F.col("last").alias("b"))
+    stray = F.greatest(F.col("a") + 1 - F.col("first"), F.col("last") - F.col("b"), F.lit(0))
+    return h.join(up, "parent", "left").select("id", "root_id", (F.col("last") - F.col("first") + 1).alias("size"), F.when(F.col("first").isNotNull(), F.coalesce(stray, F.lit(0))).cast("int").alias("strays"))
 
 
 def p4_projects(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +50,21 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return R.orphan_report(_orphans(spark, d))
 
 
+def p6_current(spark: SparkSession, d: str) -> DataFrame:
+    """Keys without any record at the end, and the references to them, by table: from a state advanced in two periods."""
+    edges, impacts, nodes, repos = (table(spark, d, t) for t in ("pending_edges", "cross_repo_impacts", "nodes", "repositories"))
+    at = int(datetime(2025, 1, 1, tzinfo=timezone.utc).timestamp() * 1_000_000)
+    out = None
+    with Scope() as s:
+        for name, refs, lives in (("pending_edges", R.edge_references(edges), R.node_lives(nodes)), ("cross_repo_impacts", R.impact_references(impacts), R.repository_lives(repos))):
+            refs = R.once(refs)
+            state = s.cut(R.advance(None, R.key_deltas(refs, lives, until=at)), "state")
+            state = s.keep(R.advance(state, R.key_deltas(refs, lives, after=at)), "state")
+            one = R.current_orphans(state).agg(F.count("*").alias("orphan_keys"), F.coalesce(F.sum("references"), F.lit(0)).alias("orphan_references")).select(F.lit(name).alias("ref_table"), "orphan_keys", "orphan_references")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+
 # The white space characters that SQL trims, as one string.
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || " + " || ".join(f"chr({c})" for c in range(8192, 8203))
 
@@ -69,7 +91,7 @@ o AS (SELECT ref_table, ref_id, ref_field, w, CASE WHEN known = 0 THEN 'missing'
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_hierarchy, p4_intervals, p4_projects, p6_found, p6_report)}
+    return {f.__name__: f for f in (p4_found, p4_hierarchy, p4_intervals, p4_projects, p6_found, p6_report, p6_current)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -81,5 +103,9 @@ def oracle_sql() -> dict[str, str]:
 SELECT g.project, count(*) AS nodes, count(*) FILTER (WHERE t.depth = 0) AS roots, CAST(max(coalesce(t.depth, -1)) AS INTEGER) AS max_depth, count(*) FILTER (WHERE t.id IS NULL) AS in_rings
 FROM k JOIN g ON k.id = g.id LEFT JOIN t ON k.id = t.id GROUP BY 1""",
         "p6_found": _ORPHANS + "SELECT ref_table, ref_id, ref_field, reason FROM o",
+        "p6_current": _ORPHANS + f""", rk AS (SELECT ref_table, project, k, count(*) AS n FROM r WHERE k IS NOT NULL AND trim(k, {_WS}) <> '' GROUP BY ALL),
+z AS (SELECT ref_table, n FROM rk WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.project = rk.project AND x.k = rk.k AND x.created_at IS NOT NULL AND x.deleted_at IS NULL)) SELECT ref_table, count(*) AS orphan_keys, CAST(sum(n) AS BIGINT) AS orphan_references FROM z GROUP BY 1""",
+        "p4_intervals": _TREE + """, z AS (SELECT k.id, coalesce(t.root_id, -1) AS root_id, t.path FROM k LEFT JOIN t ON k.id = t.id), s AS (SELECT CAST(u.a AS BIGINT) AS id, count(*) AS n FROM (SELECT unnest(string_split(path, '/')) AS a FROM t) u GROUP BY 1)
+SELECT z.id, z.root_id, s.n AS size, CASE WHEN z.path IS NOT NULL THEN 0 END AS strays FROM z LEFT JOIN s ON s.id = z.id""",
         "p6_report": _ORPHANS + "SELECT ref_table, ref_field, strftime(w, '%Y-%m') AS month, reason, count(*) AS orphans FROM o GROUP BY ALL",
     }

@@ -49,7 +49,7 @@ def test_memory_graph_of_every_order_and_customer(spark, monkeypatch):
     n = {r["what"]: r["n"] for r in more.memory_counts(spark, "").collect()}
     assert n == {"claims active": 1, "claims conflicted": 1, "entities": 4, "edges": 4, "orphan entities": 0}
     assert {(r["id"], r["direction"], r["other_id"]) for r in more.memory_relations(spark, "").collect()} == {(1, "out", 5), (2, "out", 6), (4, "out", 8), (5, "out", 9), (5, "in", 1)}
-    e, claims, x = more._memory_all(spark, "")
+    e, claims, x = more._memory(spark, "")
     assert [r["id"] for r in MG.orphan_entities(e, claims, x.where("source_id <> 2")).collect()] == [2]
 
 

@@ -36,3 +36,24 @@ def test_repositories_and_report(spark):
 def test_empty_tables(spark):
     assert run(spark)[1] == []
     assert run(spark, edges=[(1, "a", "X", None, 2, 3)])[1] == [(1, "source_qn", "missing")]
+
+
+def test_state_from_deltas_equals_the_full_run(spark):
+    """Period by period, with keys that lose their last record or reference and come back."""
+    import random
+
+    rnd = random.Random(8)
+    refs = spark.createDataFrame([(k, -k, rnd.choice([None, *range(1, 40)])) for k in [rnd.randrange(12) for _ in range(90)]], "k1 long, k2 long, at long")
+    lives = spark.createDataFrame([(k, -k, b, rnd.choice([None, b - 3, b + 1, b + 9])) for k in range(9) for b in rnd.sample(range(5, 38), 3)] + [(10, -10, None, 7)], "k1 long, k2 long, born long, gone long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for end in (4, 17, 60):
+        state, last = None, R._START
+        for until in [t for t in (3, 4, 11, 17, 25, 60) if t <= end]:
+            state, last = R.advance(state, R.key_deltas(refs, lives, last, until)), until
+        full = R.advance(None, R.key_deltas(refs, lives, until=end))
+        assert rows(state) == rows(full)
+        at = refs.collect()
+        alive = lambda k: sum(r["born"] is not None and r["born"] <= end and (r["gone"] is None or r["gone"] > end) for r in lives.collect() if r["k1"] == k and not (r["gone"] is not None and r["born"] is not None and r["gone"] <= r["born"]))
+        want = {k for k in range(12) if any(r["k1"] == k and (r["at"] is None or r["at"] <= end) for r in at) and not alive(k)}
+        assert {r["k1"] for r in R.current_orphans(state).collect()} == want
+    assert rows(R.advance(None, R.key_deltas(refs.limit(0), lives.limit(0)))) == []
