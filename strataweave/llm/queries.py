@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from strataweave.functions.text import word_count
 from strataweave.llm import authorship as A
 from strataweave.llm import conversations as C
 from strataweave.llm import mixing as M
@@ -13,6 +15,8 @@ from strataweave.llm import packing as P
 from strataweave.llm import splitting as S
 from strataweave.llm import subjects as U
 from strataweave.llm import syntax as X
+from strataweave.llm.tokens import token_count
+from strataweave.plans.cut import cut
 from strataweave.sources.tables import table
 
 # The white space characters, for SQL's regular expressions.
@@ -103,6 +107,47 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return U.composition(_subjects(spark, d), table(spark, d, "documents"))
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Of every item the digest of its pieces put together without their overlaps, and how many pieces exceed a limit."""
+    pieces = S.split_items(table(spark, d, "convention_chunks")).where("text is not null")
+    over = (F.length("text") > S.MAX_CHARS) | (word_count(F.col("text")) > S.MAX_WORDS)
+    own = F.struct("piece_index", F.substring("text", F.col("overlap_chars") + 1, F.length("text")).alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "")  # the pieces of one item
+    return pieces.groupBy(*S.KEY).agg(F.md5(whole).alias("digest"), F.count_if(over).alias("over"))
+
+
+def p3_json(spark: SparkSession, d: str) -> DataFrame:
+    """The invalid files of the one language that SQL can parse too."""
+    return X.parse_files(table(spark, d, "source_files")).where("error_at is not null and language = 'JSON'").select("file_id")
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """How many files the rates of each project and language are of, and whether a rate is not between 0 and 1."""
+    return X.parse_rates(X.parse_files(table(spark, d, "source_files"))).select("project", "language", "files", (~F.col("rate").between(0, 1)).cast("int").alias("wrong"))
+
+
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """By kind: documents in the packing, containers over capacity, places taken twice, documents that lost or gained tokens or were split though they fit."""
+    docs, sizes = table(spark, d, "documents"), table(spark, d, "container_sizes")
+    packed = cut(P.pack(docs, sizes), "packed")
+    caps = sizes.select("container_kind", F.col("capacity_tokens").alias("cap")).distinct()
+    at = W.partitionBy("container_kind", "container_id").orderBy("offset")  # one container's pieces
+    placed = packed.where("container_id is not null").withColumn("twice", (F.lag(F.col("offset") + F.col("n_tokens")).over(at) > F.col("offset")).cast("int"))
+    full = placed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"), F.coalesce(F.sum("twice"), F.lit(0)).alias("twice"))
+    full = full.join(caps, "container_kind").groupBy("container_kind").agg(F.count_if((F.col("n") > F.col("cap")) | (F.col("end") > F.col("cap"))).alias("overfull"), F.sum("twice").alias("twice"))
+    per = packed.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces")).join(docs.select("doc_id", token_count(F.col("text")).alias("tokens")), "doc_id").join(caps, "container_kind")
+    docs_of = per.groupBy("container_kind").agg(F.count("*").alias("documents"), F.count_if(F.col("n") != F.col("tokens")).alias("lost"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("cap"))).alias("split_though_fit"))
+    return docs_of.join(full, "container_kind")
+
+
+def p9_faults(spark: SparkSession, d: str) -> DataFrame:
+    """By source: whether it is off its share by more than 0.005, and its documents that repeat too often."""
+    mixed, shares = M.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    often = mixed.groupBy("source").agg(F.max("repeats").alias("most"))
+    off = F.abs(F.col("actual_share") - F.col("target_share")) > 0.005
+    return shares.join(often, "source", "left").select("source", "max_repeats", off.cast("int").alias("off_target"), F.coalesce((F.col("most") > F.col("max_repeats")).cast("int"), F.lit(0)).alias("too_often"))
+
+
 _CHATS = f"""WITH m AS (SELECT username, chat_id, message_index AS i, origin,
     CASE lower(regexp_replace(role, '^[{_WS}]+|[{_WS}]+$', '', 'g')) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'customer' THEN 'user'
       WHEN 'assistant' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'bot' THEN 'assistant'
@@ -131,7 +176,7 @@ z AS (SELECT CASE WHEN gap IS NULL THEN 'nothing stored' WHEN gap THEN 'gap' WHE
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_errors, p3_rates, p5_found, p5_handwritten, p7_found, p7_neighbours, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p1_reasons, p2_found, p2_pieces, p3_found, p3_errors, p3_rates, p5_found, p5_handwritten, p7_found, p7_neighbours, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition, p2_rejoined, p3_json, p3_files, p8_faults, p9_faults)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -141,5 +186,11 @@ def oracle_sql() -> dict[str, str]:
         "p1_reasons": _CHATS + _REASONS,
         "p7_found": _VECTORS.format("") + ", r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM p WHERE s >= 0.85) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 10",
         "p7_neighbours": _VECTORS.format(" AND a.id % 100 = 0") + "SELECT a AS id_a, b AS id_b, s AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS INT) AS rank FROM p QUALIFY rank <= 10",
+        "p2_rejoined": "WITH c AS (SELECT page_id, revision, chunk_index, arg_max(t, (u, t)) AS t FROM (SELECT page_id, revision, chunk_index, updated_at AS u, coalesce(text, chr(1)) AS t FROM convention_chunks) GROUP BY ALL) SELECT page_id, revision, chunk_index, md5(t) AS digest, 0 AS over FROM c WHERE t <> chr(1)",
+        "p3_json": "WITH f AS (SELECT file_id, arg_max(content, scanned_at) AS c FROM source_files WHERE lower(trim(file_path)) LIKE '%.json' AND content IS NOT NULL GROUP BY 1) SELECT file_id FROM f WHERE NOT json_valid(ltrim(c, chr(65279)))",
+        "p3_files": """WITH f AS (SELECT file_id, arg_max(ROW(lower(trim(project, ' ' || chr(9) || chr(160))), lower(regexp_extract(trim(file_path), '\\.([A-Za-z]+)$', 1))), scanned_at) AS v FROM source_files GROUP BY 1)
+SELECT v[1] AS project, CASE v[2] WHEN 'cs' THEN 'C#' WHEN 'ts' THEN 'TypeScript' WHEN 'js' THEN 'JavaScript' WHEN 'py' THEN 'Python' WHEN 'sql' THEN 'SQL' WHEN 'rs' THEN 'Rust' WHEN 'json' THEN 'JSON' END AS language, count(*) AS files, 0 AS wrong FROM f GROUP BY ALL""",
+        "p8_faults": "SELECT container_kind, count(DISTINCT doc_id) AS documents, 0 AS lost, 0 AS split_though_fit, 0 AS overfull, 0 AS twice FROM documents, (SELECT DISTINCT container_kind FROM container_sizes WHERE capacity_tokens >= 1) k GROUP BY 1",
+        "p9_faults": "SELECT source, CAST(max(max_repeats) AS INT) AS max_repeats, 0 AS off_target, 0 AS too_often FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY 1",
         "p2_found": f"SELECT DISTINCT page_id, revision, chunk_index FROM convention_chunks WHERE length(text) > 4000 OR len(regexp_extract_all(text, '[^{_WS}]+')) > 512",
     }
