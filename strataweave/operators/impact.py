@@ -68,3 +68,10 @@ def overlapping(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     s = spans.withColumnRenamed("file_path", "f")
     hit = (F.lower("file_path") == F.lower("f")) & F.coalesce((F.col("start_line") <= F.col("to_line")) & (F.col("end_line") >= F.col("from_line")), F.lit(True))
     return nodes.join(s, hit, "left_semi")
+
+
+def of_file(nodes: DataFrame, project: str, path: str) -> DataFrame:
+    """(id, project): what a changed file holds, but files, folders and namespaces; these only where there is nothing else."""
+    here = nodes.where((F.col("project") == project) & (F.col("file_path") == path)).select("id", "project", F.col("label").isin("File", "Folder", "Namespace").alias("frame"))
+    only = here.groupBy("project").agg(F.min("frame").alias("only"))
+    return here.join(only, "project").where(~F.col("frame") | F.col("only")).select("id", "project")

@@ -144,3 +144,32 @@ def latest_run(runs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the greatest order column of each key."""
     rest = [c for c in runs.columns if c not in keys]
     return runs.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("m")).select(*keys, "m.*")
+
+
+def resolve_entities(stored: DataFrame, incoming: DataFrame, source: str) -> DataFrame:
+    """stored: (external_id, label, type, canonical_name, aliases, summary, source); incoming: the same with `n`, the order in its batch, and a raw id as external_id.
+
+    An incoming entity is the stored one with its normalised id: stored values stay, and only what is missing there is taken over (source always where
+    given); otherwise it is made anew.  Of several in one batch the first counts.  Aliases are trimmed, not blank, and once whatever the case."""
+    first = W.partitionBy("external_id").orderBy("n")
+    new = incoming.withColumn("external_id", snake_case(F.col("external_id"))).withColumn("r", F.row_number().over(first)).where("r = 1")
+    trimmed = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(trimmed, lambda x: F.lower(x))
+    aliases = F.filter(trimmed, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    new = new.select("external_id", F.col("label").alias("l"), F.col("type").alias("t"), F.trim("canonical_name").alias("c"), aliases.alias("a"), F.col("summary").alias("s"), F.col("source").alias("o"), F.lit(True).alias("is_new"))
+    j = stored.withColumn("is_old", F.lit(True)).join(new, "external_id", "full")
+    old, none = F.col("is_old").isNotNull(), F.array().cast("array<string>")
+    empty = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    return j.select(
+        "external_id", F.when(old, F.col("label")).otherwise(F.col("l")).alias("label"), F.when(old, F.col("type")).otherwise(F.col("t")).alias("type"), F.coalesce("canonical_name", "c").alias("canonical_name"),
+        F.when(F.size(F.coalesce("aliases", none)) > 0, F.col("aliases")).otherwise(F.coalesce("a", none)).alias("aliases"),
+        F.when(old & ~empty("summary"), F.col("summary")).when(empty("s"), F.coalesce("summary", F.lit(""))).otherwise(F.col("s")).alias("summary"),
+        F.when(F.col("is_new").isNull(), F.col("source")).otherwise(F.coalesce("o", "source", F.lit(source))).alias("source"),
+    )
+
+
+def referred_entities(references: DataFrame, known: DataFrame, source: str) -> DataFrame:
+    """Entities to make for references (column reference) that no known external_id stands for: a concept labelled by its words."""
+    ids = references.select(snake_case(F.col("reference")).alias("external_id")).distinct()
+    missing = ids.join(known.select("external_id").distinct(), "external_id", "left_anti")
+    return missing.select("external_id", F.initcap(F.replace("external_id", F.lit("_"), F.lit(" "))).alias("label"), F.lit("concept").alias("type"), F.lit("").alias("summary"), F.lit(source).alias("source"))

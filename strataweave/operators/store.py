@@ -128,3 +128,45 @@ def excluded(repos: DataFrame, rules: DataFrame) -> DataFrame:
     keys = repos.select("name", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("o"), F.lower("name").alias("k"))), F.transform(F.split(F.lower("source_group"), "/"), lambda s: F.struct(F.lit(1).alias("o"), s.alias("k"))))).alias("x"))
     r = rules.select(F.lower("value").alias("k"), F.when(F.col("kind") == "repository", 0).otherwise(1).alias("o"), F.col("rule"))
     return keys.select("name", "x.o", "x.k").join(r, ["o", "k"]).groupBy("name").agg(F.min(F.struct("o", "rule")).alias("m")).select("name", "m.rule")
+
+
+# Labels worth finding in a search.
+SEARCHABLE = ["Class", "Interface", "Enum", "Struct", "Record", "Method", "Route", "Service", "Event", "Queue", "Exchange", "Job", "Table", "View", "StoredProcedure", "Component", "DotnetProject"]
+
+
+def searchable(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("label").isin(SEARCHABLE))
+
+
+def page_total(found: int, number: int, size: int) -> int:
+    """How many there are in all, known only where the page is not full: -1 else."""
+    return (number - 1) * size + found if found < size else -1
+
+
+def set_trust(nodes: DataFrame, node_id: int, flag: bool) -> DataFrame:
+    return nodes.withColumn("do_not_trust", F.when(F.col("id") == node_id, F.lit(flag)).otherwise(F.col("do_not_trust")))
+
+
+def search_pages(pages: DataFrame, text: str) -> DataFrame:
+    """Wiki pages whose slug or title contains the text, whatever the case."""
+    has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
+    return pages.where(has("slug") | has("title"))
+
+
+def secret_paths(findings: DataFrame) -> DataFrame:
+    return findings.where("category = 'secret' and path is not null").select("path").distinct()
+
+
+def unresolved(observations: DataFrame, ids: list[str]) -> DataFrame:
+    """observations: (resolved, about, text): open ones that are about one of a stated few ids, or whose text holds one, whatever the case."""
+    low = [i.lower() for i in ids if i.strip()]
+    if not low:
+        return observations.limit(0)
+    about = F.arrays_overlap(F.transform("about", lambda x: F.lower(x)), F.array(*map(F.lit, low)))
+    inside = reduce(Column.__or__, [F.contains(F.lower("text"), F.lit(i)) for i in low])
+    return observations.where(~F.col("resolved") & F.coalesce(about | inside, inside, F.lit(False)))
+
+
+def max_sort_order(sections: DataFrame, *keys: str) -> DataFrame:
+    """The greatest sort_order, -1 where there is none."""
+    return sections.groupBy(*keys).agg(F.coalesce(F.max("sort_order"), F.lit(-1)).alias("sort_order"))

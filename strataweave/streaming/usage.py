@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +58,35 @@ def after(log: DataFrame, sequence: int, limit: int | None = None) -> DataFrame:
     """Replay of an event log: what follows a sequence number."""
     out = log.where(F.col("sequence") > sequence).orderBy("sequence")
     return out.limit(limit) if limit else out
+
+
+class DoNotRetry(Exception):
+    """A failure that no repetition mends."""
+
+
+def retried(step: Callable[[DataFrame], None], poison: Callable[[DataFrame, Exception], None], limit: int = 3, first: float = 0.5, more: float = 0.5, redeliver: tuple[float, ...] = (60.0, 300.0), sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame], None]:
+    """A step that is tried again `limit` times after waits of first, first + more, ... seconds, all of that once more after each wait of `redeliver`;
+    a batch that still fails, or fails with DoNotRetry, goes to `poison` and the stream goes on."""
+
+    def run(batch: DataFrame) -> None:
+        failed: Exception | None = None
+        for wait in (0.0, *redeliver):
+            if wait:
+                sleep(wait)
+            for k in range(limit + 1):
+                try:
+                    return step(batch)
+                except DoNotRetry as e:
+                    return poison(batch, e)
+                except Exception as e:  # noqa: BLE001 - what kind of failure it is does not matter here
+                    failed = e
+                    if k < limit:
+                        sleep(first + k * more)
+        return poison(batch, failed)
+
+    return run
+
+
+def one_at_a_time(events: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, per_batch: int = 1) -> StreamingQuery:
+    """Batches one after another, each of a single partition: what a consumer with one worker does."""
+    return events.writeStream.foreachBatch(lambda b, _: write(b.coalesce(per_batch))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

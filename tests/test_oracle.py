@@ -2,11 +2,11 @@ import os
 
 import pytest
 
-from strataweave.queries import general, graph, history, knowledge, more, resolving
+from strataweave.queries import general, graph, history, knowledge, more, resolving, stores
 from tests.oracle import agree, connect
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = [general, graph, history, knowledge, more, resolving]
+MODULES = [general, graph, history, knowledge, more, resolving, stores]
 PAIRS = [(n, f, m.oracle_sql().get(n)) for m in MODULES for n, f in m.queries().items()]
 
 
@@ -22,4 +22,6 @@ def test_query(spark, con, name):
     if sql:
         agree(spark, con, FOLDER, query, sql)
     else:
-        assert query(spark, FOLDER).collect() is not None
+        df = query(spark, FOLDER)
+        rows = df.collect()
+        assert len(set(df.columns)) == len(df.columns) and rows and not any(all(v is None for v in r) for r in rows)
