@@ -42,8 +42,9 @@ def test_held_out_accuracy_and_special_texts(spark):
     found = {g for g in got if g[0] < 9000}
     assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
     assert {g for g in got if g[0] >= 9000} == {(9004, "law"), (9005, "law")}
-    both = model.sentence_hits(S.sentences("The verdict and the statute name the referee and the league."))[0]
-    assert {model.subjects[k] for k in np.nonzero(both)[0]} == {"law", "sport"}
+    for text in ("The verdict names the referee.", "The home team read the contract clause."):
+        both = model.sentence_hits(S.sentences(text))[0]
+        assert {model.subjects[k] for k in np.nonzero(both)[0]} == {"law", "sport"}
     parts = {r["subject"]: r["documents"] for r in S.composition(S.score(df, model), df).collect()}
     assert parts["(none)"] >= 3
 
