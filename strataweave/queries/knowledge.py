@@ -251,7 +251,7 @@ def memory_cleanup(s: SparkSession, d: str) -> DataFrame:
 
 def entity_seeds(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "memory_entities_v2").select("id", "external_id", "label", "canonical_name", "summary").dropDuplicates(["id"])
-    return M.entity_seeds(e, "wallet balance", 8)
+    return M.entity_seeds(e, "cache", 8)
 
 
 def snake_case(s: SparkSession, d: str) -> DataFrame:
