@@ -416,5 +416,7 @@ SELECT version, count(*) AS n, 'nodes' AS what FROM n GROUP BY 1 UNION ALL SELEC
         "snake_case": "SELECT c_custkey, lower('Ledger_Item_of_' || regexp_replace(replace(c_name, '#', '_'), '([a-z])([A-Z])', '\\1_\\2', 'g') || '_x_Y_' || c_mktsegment) AS key FROM customer",
         "summary_merge": "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN repeat('x', 1001) ELSE c_name END AS o, CASE WHEN c_custkey % 3 = 0 THEN lower(substr(c_name, 1, 9)) WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS n FROM customer) SELECT c_custkey, CASE WHEN o = '' THEN n WHEN coalesce(n, '') = '' THEN o WHEN contains(lower(o), lower(n)) THEN o WHEN length(o) > 1000 THEN n ELSE o || ' | ' || n END AS summary FROM c",
         "receipt_diagnostics": "WITH r AS (SELECT ['queued', 'processing', 'completed', 'failed'][event_id % 4 + 1] AS s, ts, CASE WHEN user_id % 2 = 0 THEN ts END AS p, event_id % 3 AS k FROM events) SELECT count(*) FILTER (WHERE s = 'queued') AS queued, count(*) FILTER (WHERE s = 'queued' AND ts < TIMESTAMP '2024-01-15') AS stale_queued, count(*) FILTER (WHERE s = 'processing') AS processing, count(*) FILTER (WHERE s IN ('queued', 'processing') AND k > 1) AS retrying, count(*) FILTER (WHERE s = 'completed') AS completed, count(*) FILTER (WHERE s = 'failed') AS failed, count(*) FILTER (WHERE s = 'failed' AND p IS NULL) AS submission_failures, count(*) FILTER (WHERE s = 'failed' AND p IS NOT NULL) AS processing_failures, count(*) FILTER (WHERE s = 'processing' AND ts < TIMESTAMP '2024-01-15') AS stale_processing, min(ts) FILTER (WHERE s = 'queued') AS oldest_queued, min(ts) FILTER (WHERE s = 'processing') AS oldest_processing FROM r",
+        # Windows that the watermark, a day behind the latest event, has passed.
+        "stream_usage_rollup": f"WITH {cte('t_tools')} SELECT date_trunc('day', created_at) AS bucket, tool_name, count(*) AS calls, count(*) FILTER (WHERE NOT success) AS failures, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM t_tools GROUP BY 1, 2 HAVING date_trunc('day', created_at) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM t_tools) - INTERVAL 1 DAY",
         "exclusion_rules": f"WITH {cte('g_repos')} SELECT name, CASE WHEN name = 'NATION_3' THEN 'r3' WHEN source_group = 'ASIA' THEN 'ga' ELSE 'gb' END AS rule FROM g_repos WHERE name = 'NATION_3' OR source_group IN ('ASIA', 'AFRICA')",
     }
