@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strataweave.plans.cut import cut
+
 
 def search_log(log: DataFrame, start: datetime, end: datetime, text: str | None = None, **equal: str) -> DataFrame:
     """Rows of a closed time range whose message, exception, source or properties contain the text; newest first."""
@@ -38,16 +40,17 @@ def expired_events(events: DataFrame, runs: DataFrame, before: datetime, most: i
     return events.join(done, "run_id", "left_semi").orderBy("run_id", "sequence").limit(most)
 
 
-def page_paths(pages: DataFrame, most: int = 32) -> DataFrame:
-    """(id, slug_path, depth) of wiki pages (id, parent_id, slug); at most `most` levels, pages on rings left out."""
+def page_paths(pages: DataFrame) -> DataFrame:
+    """(id, slug_path, depth) of wiki pages (id, parent_id, slug), as deep as they go; pages on rings, which no root reaches, are left out."""
     level = pages.where("parent_id is null").select("id", F.col("slug").alias("slug_path"), F.lit(0).alias("depth"))
-    out = level
-    for k in range(1, most):
-        level = pages.join(level.select(F.col("id").alias("parent_id"), F.col("slug_path").alias("up")), "parent_id").select("id", F.concat_ws("/", "up", "slug").alias("slug_path"), F.lit(k).alias("depth"))
+    out, depth = level, 0
+    while True:
+        depth += 1
+        up = level.select(F.col("id").alias("parent_id"), F.col("slug_path").alias("up"))
+        level = cut(pages.join(up, "parent_id").select("id", F.concat_ws("/", "up", "slug").alias("slug_path"), F.lit(depth).alias("depth")), "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def inspection_targets(scored: DataFrame, top: int) -> DataFrame:

@@ -84,6 +84,8 @@ def test_logs_pages_targets(spark):
     assert [r["id"] for r in G.search_log(log, d(1), d(2), "alpha").collect()] == [2, 1]
     pages = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 5, "x"), (5, 4, "y")], "id long, parent_id long, slug string")
     assert {r["id"]: (r["slug_path"], r["depth"]) for r in G.page_paths(pages).collect()} == {1: ("a", 0), 2: ("a/b", 1), 3: ("a/b/c", 2)}
+    deep = spark.createDataFrame([(k, k - 1 if k else None, "s") for k in range(36)] + [(90, 91, "x"), (91, 90, "y")], "id long, parent_id long, slug string")
+    assert {r["id"]: r["depth"] for r in G.page_paths(deep).collect()} == {k: k for k in range(36)}
     s = spark.createDataFrame([("p", 5.0, "r1"), ("p", 9.0, "r2"), ("p", 1.0, "r3"), ("p", 7.0, "r4"), ("q", 3.0, "z")], "path string, score double, reason string")
     assert [tuple(r) for r in G.inspection_targets(s, 1).collect()] == [("p", 22.0, "r2; r4; r1")]
     pr = spark.createDataFrame([("a", "net6.0"), ("a", "NET8.0"), ("b", "net6.0"), ("c", "foo"), ("d", "net8.0")], "project string, framework string")
