@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from strataweave.operators import cochange as C
 from strataweave.operators import history as H
+from strataweave.queries import history as Q
+from strataweave.queries import resolving as R
 
 AS_OF = datetime(2024, 6, 30)
 ST = "commit_id long, path string, author_date timestamp"
@@ -64,3 +66,17 @@ def test_pairs_and_coupling_equal_all_pairs(spark, monkeypatch, cap):
     coupled = H.coupling(st, AS_OF, cap=cap).collect()
     assert {r["path"]: (r["strength"], r["partners"]) for r in coupled} == {p: (round(min(max(ns) / len(days[p]), 1), 6), len(ns)) for p, ns in met.items()} and len(coupled) == len(met)
     assert H.cochange_pairs(st.limit(0), AS_OF).count() == H.coupling(st.limit(0), AS_OF).count() == 0
+
+
+@pytest.mark.parametrize("name", ["file_health"])
+def test_health_makes_no_pairs(spark, monkeypatch, name):
+    st = busy(spark).withColumn("path", F.concat(F.lit("src/b/"), F.col("path")))
+    commits = st.select("commit_id", F.lit("Ann").alias("author"), "author_date", F.lit("x").alias("message")).distinct()
+    touches = st.select("commit_id", "path", F.lit(1).cast("long").alias("added"), F.lit(0).cast("long").alias("removed"), F.lit(1).alias("seq"))
+    monkeypatch.setattr(Q, "AS_OF", AS_OF)
+    monkeypatch.setattr(Q, "V", lambda s, d, view, **given: {"h_commits": commits, "h_touches": touches}[view])
+    monkeypatch.setattr(Q, "table", lambda s, d, name: spark.createDataFrame([], "l_orderkey long"), raising=False)
+    got, rows = shuffled(spark, lambda: (Q if name != "fleet_health" else R).queries()[name](spark, "").collect())
+    assert len(got) == {"health_summary": 1, "fleet_health": 1, "hotspots": 25}.get(name, 2000) and rows < 200_000
+    if name == "file_health":
+        assert {(r["changes"], r["partners"], r["truck_factor"]) for r in got} == {(2, 1999, 1)}
