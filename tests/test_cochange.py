@@ -68,7 +68,7 @@ def test_pairs_and_coupling_equal_all_pairs(spark, monkeypatch, cap):
     assert H.cochange_pairs(st.limit(0), AS_OF).count() == H.coupling(st.limit(0), AS_OF).count() == 0
 
 
-@pytest.mark.parametrize("name", ["file_health", "health_summary", "hotspots", "fleet_health"])
+@pytest.mark.parametrize("name", ["file_health", "health_summary", "hotspots", "fleet_health", "file_concern"])
 def test_health_makes_no_pairs(spark, monkeypatch, name):
     st = busy(spark).withColumn("path", F.concat(F.lit("src/b/"), F.col("path")))
     commits = st.select("commit_id", F.lit("Ann").alias("author"), "author_date", F.lit("x").alias("message")).distinct()
