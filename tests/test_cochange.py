@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataweave.operators import cochange as C
 from strataweave.operators import history as H
+from strataweave.plans import sieve as S
 from strataweave.queries import history as Q
 from strataweave.queries import resolving as R
 
@@ -80,3 +81,51 @@ def test_health_makes_no_pairs(spark, monkeypatch, name):
     assert len(got) == {"health_summary": 1, "fleet_health": 1, "hotspots": 25}.get(name, 2000) and rows < 200_000
     if name == "file_health":
         assert {(r["changes"], r["partners"], r["truck_factor"]) for r in got} == {(2, 1999, 1)}
+
+
+@pytest.fixture(scope="module")
+def rare(spark, tmp_path_factory):
+    """A folder of 40,000 lines; a tenth of their orders lie in the last two years, a fiftieth in the last half."""
+    d = str(tmp_path_factory.mktemp("rare"))
+    age = F.when(F.col("id") % 50 == 0, 100).when(F.col("id") % 10 == 0, 500).otherwise(1500)
+    spark.range(4000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 97).alias("o_custkey"), F.date_sub(F.lit(Q.AS_OF), age + F.col("id").cast("int") % 13).cast("timestamp").alias("o_orderdate"), F.lit("2-HIGH").alias("o_orderpriority")).write.parquet(f"{d}/orders.parquet")
+    spark.range(500).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand")).write.parquet(f"{d}/part.parquet")
+    spark.range(40000).select((F.col("id") % 4000).alias("l_orderkey"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("l_partkey"), F.lit(4.0).alias("l_quantity"), F.lit(0.1).alias("l_discount"), F.floor(F.col("id") / 4000).cast("int").alias("l_linenumber")).write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["file_health"])
+def test_lines_outside_the_window_are_not_shuffled(spark, rare, name):
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, rows = shuffled(spark, lambda: (Q if name != "fleet_health" else R).queries()[name](spark, rare).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    assert got and rows < 30_000
+
+
+def test_sieve_keeps_all_wanted(spark, monkeypatch):
+    rows, keys = spark.range(-5000, 20000).toDF("k"), spark.range(-100, 20000, 100).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).toDF("w")
+    want = [k for k in range(-5000, 20000) if k % 100 == 0 and k >= -100]
+    got = {r["k"] for r in S.sieve(rows, "k", keys).collect()}
+    assert got >= set(want) and len(got) < len(want) + 20
+    monkeypatch.setattr(S, "BITS", 256)  # too many keys for the map
+    assert sorted(r["k"] for r in S.sieve(rows, "k", keys).collect()) == want
+    assert S.sieve(rows, "k", keys.limit(0)).count() == 0
+
+
+def test_figures_equal_those_one_by_one(spark):
+    rnd = random.Random(5)
+    commits = spark.createDataFrame([(i // 2 if i < 40 else i, rnd.choice(["Ann", "ann", "Bob", "Zoe", "Éva", None]), AS_OF - timedelta(days=rnd.choice([-3, 0, 20, 60, 120, 179, 180, 181, 300, 400, 729]), hours=rnd.choice([0, 5])), rnd.choice(["fix it", "more", None])) for i in range(300)], "commit_id long, author string, author_date timestamp, message string")
+    touches = spark.createDataFrame([(rnd.randrange(300), f"src/{rnd.choice('aB')}{rnd.randrange(30)}.cs", rnd.choice([None, 0, 3, 8]), rnd.randrange(5), i) for i in range(1500)], "commit_id long, path string, added long, removed long, seq long")
+    st = H.source_touches(commits, touches).cache()
+    whole = {r["path"]: r.asDict() for r in H.figures(st, AS_OF).collect()}
+    for part, least in ((H.churn(st, AS_OF), {"changes": 0}), (H.weighted_churn(st, AS_OF), dict.fromkeys(H.WEIGHED, 0.0)), (H.day_sets(st, AS_OF), {"n": 0, "days": []}), (H.knowledge(st, AS_OF), {})):
+        want = {r["path"]: r.asDict() for r in part.collect()}
+        assert want
+        for path, row in whole.items():
+            mine = {c: row[c] for c in part.columns}
+            assert mine == pytest.approx(want[path] if path in want else dict.fromkeys(part.columns) | least | {"path": path}) if not {"days", "last_change", "top_authors"} & set(mine) else mine == (want[path] if path in want else dict.fromkeys(part.columns) | least | {"path": path})
+        assert set(want) <= set(whole)
+    st.unpersist()
