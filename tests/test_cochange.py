@@ -94,7 +94,7 @@ def rare(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["file_health", "health_summary", "hotspots", "coupling", "fleet_health"])
+@pytest.mark.parametrize("name", ["file_health", "health_summary", "hotspots", "coupling", "fleet_health", "file_concern"])
 def test_lines_outside_the_window_are_not_shuffled(spark, rare, name):
     given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
