@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strataweave.operators import cochange
-from strataweave.plans.cut import cut
+from strataweave.plans.cut import Scope, cut
 
 # Path segments of tests, words of repairs and of emergencies, extensions of sources.
 TEST_SEGMENTS = ["test", "tests", "spec", "specs", "testing", ".tests", ".test"]
@@ -18,6 +19,8 @@ FIREFIGHTING = r"(?i)\b(hotfix|incident|urgent|emergency|rollback|revert)\b"
 SOURCE_EXTENSIONS = r"(?i)\.(cs|ts|tsx|js|jsx|cfm|cfc|sql|vue|py|java)$"
 #: Days of the longest window of a path's figures.
 LONGEST = 730
+#: Slices, at most, by commit and then by path, in which touches and figures are made, and the commits of one, at least: the shuffles of one are deleted before the next begins.
+SLICES, LEAST = 4, 500_000
 
 
 def age_days(as_of: datetime, at: Column) -> Column:
@@ -191,39 +194,46 @@ def concern(h: Column, risk: Column, file_role: Column, rec: Column, fixes: Colu
     return F.bround(base * F.when(file_role == "test", 0.5).otherwise(1.0), 1)
 
 
-def figures(st: DataFrame, as_of: datetime) -> DataFrame:
-    """All that churn, weighted_churn, day_sets and knowledge give, for every path touched within two years; the touches are shuffled by path, once."""
+def slices(key: str, n: int) -> list[Column]:
+    """n conditions of which each row meets one, the same for equal keys."""
+    return [F.pmod(F.xxhash64(key), F.lit(n)) == k for k in range(n)]
+
+
+def figures(st: DataFrame, as_of: datetime, brief: bool = False) -> DataFrame:
+    """All that churn, weighted_churn, day_sets and knowledge give, for every path touched within two years; the touches are shuffled by path, once.
+
+    A brief one has truck_factor, changes, last_change, days and n alone, and reads the columns in BRIEF."""
     age, w, recent = age_days(as_of, F.col("author_date")), F.col("weight"), F.col("changes") > 0
     part = lambda cond: F.sum(F.when(cond, w).otherwise(0.0))
     month = lambda c: F.when(age <= 90, c)
-    own = st.where(age <= LONGEST).select("path", "author", "commit_id", "author_date", "added", "removed", "weight", F.col("message").rlike(BUG_FIX).alias("fix")).repartition("path")
-    per = own.groupBy("path", "author").agg(
-        F.countDistinct("commit_id").alias("commits"), F.count(month(F.lit(1))).alias("changes"), F.sum(month(F.col("added"))).alias("lines_added"), F.sum(month(F.col("removed"))).alias("lines_removed"), F.max(month(F.col("author_date"))).alias("last_change"),
-        part(age <= 30).alias("churn30d"), part(age <= 90).alias("churn90d"), part(age <= 365).alias("churn365d"), part((age <= 365) & F.col("fix")).alias("fixes365d"), F.collect_set(F.when(age <= 180, F.unix_date(F.to_date("author_date")))).alias("days"),
-    )
+    more = [] if brief else ["added", "removed", "weight", F.col("message").rlike(BUG_FIX).alias("fix")]
+    own = st.where(age <= LONGEST).select(*BRIEF, *more).repartition("path")
+    per = [F.countDistinct("commit_id").alias("commits"), F.count(month(F.lit(1))).alias("changes"), F.max(month(F.col("author_date"))).alias("last_change"), F.collect_set(F.when(age <= 180, F.unix_date(F.to_date("author_date")))).alias("days")]
     total = lambda c: F.sum(c).alias(c)
     weighed = lambda c: F.round(F.sum(c), 6).alias(c)
-    out = ranked(per, "commits").groupBy("path").agg(
-        *owners(5), total("changes"), total("lines_added"), total("lines_removed"), F.size(F.collect_set(F.when(recent, F.lower("author")))).alias("authors"), F.max("last_change").alias("last_change"),
-        weighed("churn30d"), weighed("churn90d"), weighed("churn365d"), weighed("fixes365d"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("days")))).alias("days"),
-    )
-    return out.withColumns({"n": F.size("days"), "authors": F.when(recent, F.col("authors"))})
+    whole = [total("changes"), F.max("last_change").alias("last_change"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("days")))).alias("days")]
+    truck, owner = owners(5)
+    if not brief:
+        per += [F.sum(month(F.col("added"))).alias("lines_added"), F.sum(month(F.col("removed"))).alias("lines_removed"), part(age <= 30).alias("churn30d"), part(age <= 90).alias("churn90d"), part(age <= 365).alias("churn365d"), part((age <= 365) & F.col("fix")).alias("fixes365d")]
+        whole += [owner, total("lines_added"), total("lines_removed"), F.when(F.sum("changes") > 0, F.size(F.collect_set(F.when(recent, F.lower("author"))))).alias("authors"), *map(weighed, WEIGHED)]
+    return ranked(own.groupBy("path", "author").agg(*per), "commits").groupBy("path").agg(truck, *whole).withColumn("n", F.size("days"))
 
 
-#: The figures that only `recurring` and `concern` use.
-WEIGHED = ["churn30d", "churn90d", "churn365d", "fixes365d"]
+#: The figures that only `recurring` and `concern` use, and the columns that a brief `figures` reads.
+WEIGHED, BRIEF = ["churn30d", "churn90d", "churn365d", "fixes365d"], ["path", "author", "commit_id", "author_date"]
 
 
 def file_metrics(commits: DataFrame, touches: DataFrame, as_of: datetime, cap: int | None = None, brief: bool = False) -> DataFrame:
     """Health, trust, risk, concern of every path touched within two years; no complexity or lint data; `cap` as in day_sets.
 
     A brief one has the figures behind health, trust and risk alone, so less is shuffled for it."""
-    st = source_touches(within(commits, as_of, LONGEST), touches)
-    if cap is not None:
-        st = cut(st, "touches")  # the days are then read by themselves
-    own = figures(st, as_of)
-    own = cut(own.drop(*WEIGHED, "lines_added", "lines_removed", "authors", "top_authors") if brief else own, "figures")
-    sets = own.select("path", "n", "days") if cap is None else cut(day_sets(st, as_of, cap=cap), "days")
+    recent, union = within(commits, as_of, LONGEST), lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    n = max(1, min(SLICES, recent.count() // LEAST))
+    with Scope() as s:
+        made = [source_touches(recent.where(c), touches.where(c)) for c in slices("commit_id", n)]
+        st = union([s.cut(t.select(*BRIEF) if brief else t, "touches") for t in made])
+        own = union([cut(figures(st.where(c), as_of, brief), "figures") for c in slices("path", n)])
+        sets = own.select("path", "n", "days") if cap is None else cut(day_sets(st, as_of, cap=cap), "days")
     j = own.drop("n", "days").join(coupled(sets), "path", "left")
     j = j.fillna(0, ["partners"]).fillna(0.0, ["strength"])
     zero = F.lit(0)

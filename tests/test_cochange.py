@@ -1,7 +1,9 @@
 import random
+import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,35 @@ def test_lines_outside_the_window_are_not_shuffled(spark, rare, name):
     assert got and rows < 30_000
 
 
+def left(spark, run):
+    """What `run` gives, the bytes and the most rows that one of its stages writes for others, and the bytes of its shuffles on disk after it."""
+    sc = spark.sparkContext
+    folders = [Path(f.getPath()) for f in sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: [(int(p.name.split("_")[1]), p.stat().st_size) for d in folders for p in d.rglob("shuffle_*.data") if p.exists()]
+    old = max(files(), default=(-1, 0))[0]
+    sc.setJobGroup(name := f"t{random.random()}", name)
+    got = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    time.sleep(1)  # files are deleted in the background
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(name) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    wrote = [sc._jsc.sc().statusStore().lastStageAttempt(s) for s in stages if sc.statusTracker().getStageInfo(s)]
+    return got, sum(w.shuffleWriteBytes() for w in wrote), max(w.shuffleWriteRecords() for w in wrote), sum(n for k, n in files() if k > old)
+
+
+@pytest.mark.parametrize("name", ["health_summary"])
+def test_shuffles_are_in_slices_and_deleted(spark, rare, monkeypatch, name):
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    query = (Q if name != "fleet_health" else R).queries()[name]
+    try:
+        whole = query(spark, rare).collect()
+        monkeypatch.setattr(H, "LEAST", 100, raising=False)  # four slices of 400 commits, 4000 lines
+        got, written, rows, kept = left(spark, lambda: query(spark, rare).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    assert sorted(map(str, got)) == sorted(map(str, whole)) and rows < 2000 and kept < 0.5 * written
+
+
 def test_sieve_keeps_all_wanted(spark, monkeypatch):
     rows, keys = spark.range(-5000, 20000).toDF("k"), spark.range(-100, 20000, 100).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).toDF("w")
     want = [k for k in range(-5000, 20000) if k % 100 == 0 and k >= -100]
