@@ -136,6 +136,13 @@ def test_shuffles_are_in_slices_and_deleted(spark, rare, monkeypatch, name):
     assert sorted(map(str, got)) == sorted(map(str, whole)) and rows < 2000 and kept < 0.5 * written
 
 
+def test_day_sets_leave_no_shuffle(spark, rare, monkeypatch):
+    seen, real = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df, label: seen.append(left(spark, lambda: real(df, label))) or seen[-1][0])
+    assert Q.coupling(spark, rare).count()
+    assert [(written > 10_000, kept) for _, written, _, kept in seen] == [(True, 0)]
+
+
 def test_sieve_keeps_all_wanted(spark, monkeypatch):
     rows, keys = spark.range(-5000, 20000).toDF("k"), spark.range(-100, 20000, 100).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).toDF("w")
     want = [k for k in range(-5000, 20000) if k % 100 == 0 and k >= -100]
