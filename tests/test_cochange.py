@@ -122,7 +122,7 @@ def left(spark, run):
     return got, sum(w.shuffleWriteBytes() for w in wrote), max(w.shuffleWriteRecords() for w in wrote), sum(n for k, n in files() if k > old)
 
 
-@pytest.mark.parametrize("name", ["health_summary", "hotspots", "fleet_health"])
+@pytest.mark.parametrize("name", ["health_summary", "hotspots", "fleet_health", "file_concern"])
 def test_shuffles_are_in_slices_and_deleted(spark, rare, monkeypatch, name):
     given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
