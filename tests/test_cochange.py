@@ -167,3 +167,27 @@ def test_figures_equal_those_one_by_one(spark):
             assert mine == pytest.approx(want[path] if path in want else dict.fromkeys(part.columns) | least | {"path": path}) if not {"days", "last_change", "top_authors"} & set(mine) else mine == (want[path] if path in want else dict.fromkeys(part.columns) | least | {"path": path})
         assert set(want) <= set(whole)
     st.unpersist()
+
+
+@pytest.mark.parametrize("most", [0, 16, 10**9])
+def test_few_days_are_counted_by_subsets(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "LEAST", 20)
+    monkeypatch.setattr(C, "ASKED", 60)
+    monkeypatch.setattr(C, "SUBSETS", most, raising=False)
+    monkeypatch.setattr(C, "SLICE", 500, raising=False)
+    rnd = random.Random(6)
+    days = {f"p{i}.cs": sorted(rnd.sample(range(-30, 150), min(180, rnd.choice([1, 1, 2, 2, 3, 3, 4, 5, 8, 9, 30])))) for i in range(400)}
+    days |= {"alone.cs": [400], "twin1.cs": [500, 501], "twin2.cs": [500, 501], "never.cs": []}
+    sets = spark.createDataFrame([(p, len(ds), ds) for p, ds in days.items()], "path string, n int, days array<int>").cache()
+    got = {r["path"]: (r["partners"], r["most"]) for r in C.partners(sets).collect()}
+    met = {p: [m for q, es in days.items() if q != p and (m := len(set(ds) & set(es)))] for p, ds in days.items()}
+    assert got == {p: (len(ms), max(ms)) for p, ms in met.items() if ms}
+    assert C.partners(sets.limit(0)).count() == 0
+    sets.unpersist()
+
+
+def test_rows_of_few_days_are_not_copied_for_blocks(spark):
+    rnd = random.Random(7)
+    sets = H.cut(spark.createDataFrame([(f"p{i}", 2, sorted(rnd.sample(range(180), 2))) for i in range(20_000)], "path string, n int, days array<int>"), "sets")
+    got, rows = shuffled(spark, lambda: C.partners(sets).count())
+    assert got == 20_000 and rows < 200_000
