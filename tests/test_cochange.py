@@ -191,3 +191,23 @@ def test_rows_of_few_days_are_not_copied_for_blocks(spark):
     sets = H.cut(spark.createDataFrame([(f"p{i}", 2, sorted(rnd.sample(range(180), 2))) for i in range(20_000)], "path string, n int, days array<int>"), "sets")
     got, rows = shuffled(spark, lambda: C.partners(sets).count())
     assert got == 20_000 and rows < 200_000
+
+
+def test_pairs_are_written_in_few_bytes(spark, tmp_path):
+    """Names of more than parquet's dictionary takes at once: 3000 of 400 bytes."""
+    st = busy(spark, 3000).withColumn("path", F.concat(F.lit("d/" * 196), F.col("path")))
+    H.cochange_pairs(st, AS_OF).write.parquet(str(tmp_path / "pairs"))
+    rows = spark.read.parquet(str(tmp_path / "pairs"))
+    assert rows.count() == rows.distinct().count() == 3000 * 2999 // 2
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 3 * rows.count()
+
+
+@pytest.mark.parametrize(("names", "blocks", "chunk"), [(200, 100, 2), (200, 3, 250), (10**6, 100, 3)])
+def test_pairs_of_tiles_equal_all_pairs(spark, monkeypatch, names, blocks, chunk):
+    for k, v in {"NAMES": names, "BLOCKS": blocks, "CHUNK": chunk, "BATCH": 20}.items():
+        monkeypatch.setattr(C, k, v, raising=False)
+    days = random_days(8) | {f"Brand{i}/equal.cs": [3, 9] for i in range(11)} | {"never.cs": []}
+    sets = H.cut(spark.createDataFrame([(p, len(ds), sorted(ds)) for p, ds in days.items()], "path string, n int, days array<int>"), "sets")
+    got = [((r["a"], r["b"]), r["days"]) for r in C.pairs(sets).collect()]
+    want = {(a, b): n for a, b in combinations(sorted(days, key=str.encode), 2) if (n := len(set(days[a]) & set(days[b])))}
+    assert dict(got) == want and len(got) == len(want)
